@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality_knn, quality_rules, toxicity
+from . import byte_bpe, decontaminate, near_dedup, quality_knn, quality_rules, toxicity
 from .labelled import held_out
 
 
@@ -44,12 +44,17 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode(docs, tokenizer(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), keep=["doc_id"])
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document with the id of its class."""
+    return near_dedup.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, folder, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "p_good", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_toxicity, op5_byte_bpe, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_toxicity, op5_byte_bpe, op6_near_dedup, op8_quality_rules)}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
