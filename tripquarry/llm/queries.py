@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_dedup, quality_knn, quality_rules, toxicity
+from . import byte_bpe, chat_format, decontaminate, license_scan, lm_scoring, near_dedup, quality_knn, quality_rules, token_counts, toxicity
 from .labelled import held_out
 
 
@@ -35,6 +35,13 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "terms")
 
 
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    trial = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", trial), (-1, 1, "assistant", trial)], turns.schema)
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(extra)))
+
+
 def tokenizer() -> byte_bpe.Tokenizer:
     return byte_bpe.Tokenizer.from_tiktoken(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -49,12 +56,57 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each text, attributed to its lines."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.count_section_tokens(docs, tokenizer(), rule="most", keep=["doc_id"])
+    per_line = F.transform("section_tokens", lambda x: x.cast("long").cast("string"))
+    return counted.select(
+        "doc_id",
+        "n_tokens",
+        "n_crossing",
+        F.size("section_tokens").cast("long").alias("n_sections"),
+        F.array_max("section_tokens").cast("long").alias("most_tokens"),
+        F.sha2(F.array_join(per_line, ","), 256).alias("section_tokens_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, folder, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *quality_rules.STATS, "base_failed", "p_good", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_toxicity, op5_byte_bpe, op6_near_dedup, op8_quality_rules)}
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    m = F.col("matches")
+    return found.select(
+        "doc_id",
+        F.size(m).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(m["license"])), ",").alias("licenses"),
+        F.round(F.coalesce(F.array_max(m["coverage"]), F.lit(0.0)), 6).alias("best_coverage"),
+        F.array_join(F.transform(m, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_quality_classifier,
+        op3_toxicity,
+        op4_chat_format,
+        op5_byte_bpe,
+        op6_near_dedup,
+        op7_token_counts,
+        op8_quality_rules,
+        op9_license_scan,
+        op10_lm_scoring,
+    )
+}
 
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -69,4 +121,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+OP4_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role AS r, text AS x, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(role || chr(10) || text, '\\|<[|]|</?s>|\[/?INST\]|<</?SYS>>')) AS n_escapes FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST)) AS loss_sha256,
+  CAST(sum(length('<|turn|><|says|><|end|>') + 1 + length(role) + length(text) + n_escapes) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op4_chat_format": OP4_SQL}
