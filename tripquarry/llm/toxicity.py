@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordscan
-from .frames import bound_batches, map_batches, set_aside
+from .frames import bound_batches, checkpointed, map_batches, set_aside
 from .labelled import MAX_LABELLED, Calibration, labelled_sample
 
 VOCABULARY = 512
@@ -79,18 +79,13 @@ def choose_vocabulary(sample: DataFrame, limit: int = VOCABULARY) -> Vocabulary:
         for batch in batches:
             labels = batch.column(1).to_numpy()
             for lo, hi, words in wordscan.scan(batch.column(0)):
-                text, h, _, first = _distinct(words.texts, words.hashes)
+                text, h, _, _ = _distinct(words.texts, words.hashes)
                 y = labels[lo:hi][text]
                 order = np.argsort(h, kind="stable")
-                new = np.ones(len(h), bool)
-                new[1:] = h[order][1:] != h[order][:-1]
-                at = np.flatnonzero(new)
-                if not len(at):
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([words.word(i).decode() for i in first[order][at].tolist()]), pa.array(np.add.reduceat(y[order], at), pa.int64()), pa.array(np.diff(np.append(at, len(h))), pa.int64())],
-                    names=["word", "pos", "all"],
-                )
+                h, y = h[order], y[order]
+                at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(y, at), pa.int64()), pa.array(np.diff(np.append(at, len(h))), pa.int64())], names=["hash", "pos", "all"])
 
     both = sample.agg(F.sum("label").alias("pos"), F.count("*").alias("all")).first()
     p, n = float(both["pos"] or 0), float(both["all"])
@@ -100,17 +95,30 @@ def choose_vocabulary(sample: DataFrame, limit: int = VOCABULARY) -> Vocabulary:
     chi = n * F.pow(a * (n - p) - (c - a) * p, F.lit(2)) / (F.lit(p) * (n - p) * c * (n - c + 1e-9))
     found = (
         sample.select("text", "label")
-        .mapInArrow(run, "word string, pos long, all long")
-        .groupBy("word")
+        .mapInArrow(run, "hash long, pos long, all long")
+        .groupBy("hash")
         .agg(F.sum("pos").alias("pos"), F.sum("all").alias("all"))
         .where((F.col("pos") >= _MIN_DF) & (F.col("all") < n) & (a * n > c * p))
-        .select("word", chi.alias("chi"))
+        .select("hash", chi.alias("chi"))
         .where(F.col("chi") >= _CHI)
-        .orderBy(F.desc("chi"), "word")
+        .orderBy(F.desc("chi"), "hash")
         .limit(limit)
         .collect()
     )
-    return Vocabulary([r["word"] for r in found])
+    chosen = np.sort(np.array([r["hash"] for r in found], np.int64).view(np.uint64))
+
+    def spell(batches):
+        left = set(chosen.tolist())
+        for batch in batches:
+            for _, _, words in wordscan.scan(batch.column(0)):
+                h = words.hashes
+                at = np.flatnonzero(np.isin(h, chosen))
+                new = {x: i for x, i in zip(h[at].tolist(), at.tolist()) if x in left}
+                left -= set(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([words.word(i).decode() for i in new.values()])], names=["word"])
+
+    return Vocabulary([r["word"] for r in sample.select("text").mapInArrow(spell, "word string").distinct().collect()]) if len(chosen) else Vocabulary([])
 
 
 def vocabulary_frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> tuple[np.ndarray, int]:
@@ -247,7 +255,7 @@ def _sample_counts(sample: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarra
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY, **options) -> ToxicityModel:
     """Fit on at most ``max_labelled`` labelled rows that aren't held out."""
-    sample = labelled_sample(docs, labels, label_col, text_col=text_col, id_col=id_col, limit=max_labelled)
+    sample = checkpointed(labelled_sample(docs, labels, label_col, text_col=text_col, id_col=id_col, limit=max_labelled))
     words = choose_vocabulary(sample, vocabulary)
     counts, y = _sample_counts(sample, words)
     df, n = vocabulary_frequencies(docs, words, text_col)
