@@ -151,7 +151,7 @@ def absolute_url(href: Column) -> Column:
 def format_duration(minutes: Column) -> Column:
     """'2h', '45m', '2h 05m'; 0 is '0h'."""
     h, m = F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int")
-    return F.when(m == 0, F.format_string("%dh", h)).when(h == 0, F.format_string("%dm", m)).otherwise(F.format_string("%dh %02dm", h, m))
+    return F.when(minutes.isNull(), None).when(m == 0, F.format_string("%dh", h)).when(h == 0, F.format_string("%dm", m)).otherwise(F.format_string("%dh %02dm", h, m))
 
 
 def format_times(departure: Column, arrival: Column) -> Column:

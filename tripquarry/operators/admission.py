@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class QueueClosed(RuntimeError):
@@ -133,9 +134,9 @@ def replay_bucket(arrivals: DataFrame, limit: int, *, key: str, at: str, order:
     partitions, and a task streams over them with the state of one bucket, so memory doesn't grow
     with a key's rows.  The time of the first arrival starts a bucket; null times are left out.
     """
-    rows = arrivals.where(F.col(at).isNotNull()).withColumn("_at", F.unix_micros(at))
+    rows = arrivals.where(F.col(at).isNotNull()).withColumn("_at", F.unix_micros(F.col(at).cast("timestamp")))
     dealt = rows.repartition(key).sortWithinPartitions(key, "_at", *order)
-    schema = dealt.drop("_at").schema.add("admitted", "boolean").add("tokens", "bigint")
+    schema = T.StructType([*dealt.drop("_at").schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("tokens", T.LongType())])
 
     def run(batches):
         now, bucket, started = None, None, False

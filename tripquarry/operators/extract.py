@@ -160,12 +160,12 @@ def extract_hotels(pages: DataFrame, *, key: list[str] | None = None, html: str
 
 def links(html: Column) -> Column:
     """Targets of plain anchors, made absolute, without repeats."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit('<a href="([^"]+)"'), F.lit(1)), text.absolute_url))
+    return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit('<a href="([^"]+)"'), F.lit(1)), lambda x: text.absolute_url(x)))
 
 
 def headings(html: Column, level: int = 2, stop_words: list[str] | None = None) -> Column:
     """Texts of headings without inner markup: trimmed, not empty, no stop words, no repeats."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(f"(?s)<h{level}[^>]*>([^<]*)</h{level}>"), F.lit(1)), text.trim_all)
+    found = F.transform(F.regexp_extract_all(html, F.lit(f"(?s)<h{level}[^>]*>([^<]*)</h{level}>"), F.lit(1)), lambda x: text.trim_all(x))
     stop = stop_words or []
     return F.array_distinct(F.filter(found, lambda x: (x != "") & ~x.isin(stop) if stop else x != ""))
 

@@ -127,7 +127,7 @@ def split_amenities(names: Column) -> Column:
     """struct<valid, invalid>: canonical names of the known ones, the others as they came."""
     names = F.coalesce(names, F.array().cast("array<string>"))
     known = lambda a: domains.AMENITY.canonical(a).isNotNull()
-    return F.struct(F.transform(F.filter(names, known), domains.AMENITY.canonical).alias("valid"), F.filter(names, lambda a: ~known(a)).alias("invalid"))
+    return F.struct(F.transform(F.filter(names, known), lambda a: domains.AMENITY.canonical(a)).alias("valid"), F.filter(names, lambda a: ~known(a)).alias("invalid"))
 
 
 def amenity_warning(invalid: Column) -> Column:

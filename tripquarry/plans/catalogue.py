@@ -90,8 +90,8 @@ def layover_extract(spark: SparkSession, folder: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     names = F.array(*map(F.lit, CITIES))
     label = F.concat(
-        F.lit("Layover (1 of 2) is a "), s(k % 23 + 1), F.lit(" hr "), s(c % 60), F.lit(" min layover at Main Hub in "), F.get(names, (c % 4).cast("int")),
-        F.lit(". Layover (2 of 2) is a "), s(k % 23 + 1), F.lit(" hr layover at Main Hub in "), F.get(names, (k % 4).cast("int")), F.lit("."),
+        F.lit("Layover (1 of 2) is a "), s(k % 23 + 1), F.lit(" hr "), s(c % 60), F.lit(" min layover at North Hub in "), F.get(names, (c % 4).cast("int")),
+        F.lit(". Layover (2 of 2) is a "), s(k % 23 + 1), F.lit(" hr layover at North Hub in "), F.get(names, (k % 4).cast("int")), F.lit("."),
     )
     stops = table(spark, folder, "orders").select("o_orderkey", F.posexplode(text.layovers(F.array(label))).alias("pos", "stop"))
     return stops.select("o_orderkey", "pos", F.col("stop.airport_city").alias("city"), F.col("stop.duration_minutes").alias("minutes"))
@@ -99,9 +99,9 @@ def layover_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT n_nationkey, n_name, (ascii(substr(n_name, 1, 1)) - 55) * 1296 + (ascii(substr(n_name, 2, 1)) - 55) * 36 + (ascii(substr(n_name, 3, 1)) - 55) AS a, n_nationkey * 1296 + 35 AS b FROM nation)
-SELECT n_nationkey, lpad(CAST(((a << 16) & 4294967295) | b AS VARCHAR), greatest(6, length(CAST(((a << 16) & 4294967295) | b AS VARCHAR))), '0') || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id,
-  '00000000' || CAST(n_nationkey % 2 AS VARCHAR) AS no_id
-FROM t""".replace("'00000000' || CAST(n_nationkey % 2 AS VARCHAR)", "'0000000' || CAST(n_nationkey % 2 AS VARCHAR)"))
+SELECT n_nationkey, lpad(CAST(((a << 16) & 4294967295) | b AS VARCHAR), CAST(greatest(6, length(CAST(((a << 16) & 4294967295) | b AS VARCHAR))) AS INT), '0') || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id,
+  '0000000' || CAST(n_nationkey % 2 AS VARCHAR) AS no_id
+FROM t""")
 def itinerary_ids(spark: SparkSession, folder: str) -> DataFrame:
     """F8."""
     k = F.col("n_nationkey")
@@ -228,8 +228,8 @@ def tfs_encode(spark: SparkSession, folder: str) -> DataFrame:
 WITH {FLIGHTS_SQL}
 SELECT request_id, f AS from_airport, t AS to_airport, strftime(d, '%Y-%m-%d') AS depart_date, CASE WHEN trip = 0 THEN strftime(b, '%Y-%m-%d') END AS return_date, (['economy','business'])[1 + CAST(c % 2 AS INT)] AS cabin_class,
   'adult:' || adults || CASE WHEN children > 0 THEN ',child:' || children ELSE '' END || CASE WHEN lap > 0 THEN ',infant_on_lap:' || lap ELSE '' END AS passengers,
-  (['round_trip','one_way','multi_city'])[1 + CAST(trip AS INT)] AS trip_type, CAST(CASE WHEN c % 4 > 0 THEN c % 4 END AS INT) AS max_stops, CASE WHEN c % 5 = 0 THEN 'UA,LH' END AS airlines, CAST(NULL AS VARCHAR) AS error
-FROM v WHERE error IS NULL""".replace("SELECT request_id, f AS", "SELECT request_id, f AS").replace("CAST(NULL AS VARCHAR) AS error\n", "CAST(NULL AS VARCHAR) AS decode_error\n"))
+  (['round_trip','one_way','multi_city'])[1 + CAST(trip AS INT)] AS trip_type, CAST(CASE WHEN c % 4 > 0 THEN c % 4 END AS INT) AS max_stops, CASE WHEN c % 5 = 0 THEN 'UA,LH' END AS airlines, CAST(NULL AS VARCHAR) AS decode_error
+FROM v WHERE error IS NULL""")
 def tfs_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """C1 then C2, A2."""
     coded = requests.with_flight_token(_flights(spark, folder)).where("validation_error IS NULL").select("request_id", "tfs")
@@ -463,8 +463,8 @@ def result_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS request_id, p_brand, p_size, (p_partkey % 9 + 1) * 1000 + p_size AS price, p_size || 'h 05m' AS dur, '1 stop: ' || (p_size % 5 + 1) || 'h 30m@Oslo' AS stops FROM part),
-w AS (SELECT *, greatest(7, strlen(p_brand)) AS aw, 16 AS tw, 25 AS sw FROM p)
-SELECT request_id, '       1  ' || rpad(p_brand, CAST(aw AS INT), ' ') || '  10:30 → 6:15 +1d' || '  ' || rpad(dur, 10, ' ') || '  ' || rpad(stops, 25, ' ') || '   $' || price AS first_line,
+w AS (SELECT *, greatest(7, strlen(p_brand)) AS aw FROM p)
+SELECT request_id, '      1  ' || rpad(p_brand, CAST(aw AS INT), ' ') || '  10:30 → 6:15 +1d  ' || '  ' || rpad(dur, 10, ' ') || '  ' || rpad(stops, 25, ' ') || '   $' || price AS first_line,
   CAST(aw AS INT) AS airline_width, 18 AS times_width, 10 AS duration_width, 25 AS stops_width FROM w""")
 def flight_rendering(spark: SparkSession, folder: str) -> DataFrame:
     """S13, A9, L1, F26-F28, V33, P12."""

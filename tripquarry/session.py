@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,3 +30,21 @@ def build_session(name: str = "tripquarry", master: str | None = None, **setting
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they can't find it by their own path.
+
+    Spark itself sends the archive to the executors; nothing relies on a folder they share.
+    """
+    home = str(ROOT.parent)
+    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == home or getattr(spark.sparkContext, "_tripquarry_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tripquarry-")
+    atexit.register(shutil.rmtree, folder, True)  # Spark reads it again for each new executor
+    archive = Path(folder, "tripquarry.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(ROOT.rglob("*.py")):
+            out.write(path, path.relative_to(ROOT.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._tripquarry_shipped = True

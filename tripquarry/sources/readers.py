@@ -66,7 +66,7 @@ def flight_arguments(frame: DataFrame) -> DataFrame:
         F.filter(counts, lambda p: p["count"] > 0).alias("passengers"),
         trip.alias("trip_type"),
         F.nullif(F.col("max_stops").cast("int"), F.lit(0)).alias("max_stops"),
-        F.when(F.col("airlines") != "", F.transform(F.split("airlines", ","), text.trim_all)).otherwise(none).alias("preferred_airlines"),
+        F.when(F.col("airlines") != "", F.transform(F.split("airlines", ","), lambda x: text.trim_all(x))).otherwise(none).alias("preferred_airlines"),
     )
 
 
@@ -90,7 +90,7 @@ def hotel_arguments(frame: DataFrame) -> DataFrame:
         domains.sort_order(F.col("sort")).alias("sort_order"),
         F.col("rating").try_cast("double").alias("min_guest_rating"),
         text.star_list(F.col("stars")).alias("hotel_stars"),
-        F.transform(F.filter(wishes, known), domains.AMENITY.canonical).alias("amenities"),
+        F.transform(F.filter(wishes, known), lambda a: domains.AMENITY.canonical(a)).alias("amenities"),
         text.whole_price(F.col("min_price").try_cast("double")).alias("min_price"),
         text.whole_price(F.col("max_price").try_cast("double")).alias("max_price"),
         F.filter(wishes, lambda a: ~known(a)).alias("unknown_amenities"),
