@@ -209,7 +209,7 @@ def _features(shared, text_col: str, with_bands: bool):
 def _candidates(contents: DataFrame) -> DataFrame:
     """Candidate links (a < b) between contents (key, bands)."""
     rows = contents.select(F.col("_key").alias("key"), F.posexplode("_bands").alias("pos", "bucket"), "_bands").select("key", "bucket", F.get("_bands", (F.col("pos") + 1) % BANDS).alias("next"))
-    ends = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    ends = checkpointed(rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most"))
     members = rows.join(ends, "bucket")
 
     def neighbours(batches):
