@@ -27,11 +27,10 @@ def byte(value: Column) -> Column:
 def varint(value: Column) -> Column:
     """Base-128, low group first; a negative number takes ten bytes, as 64-bit two's complement."""
     def made(v: Column) -> Column:
-        group = lambda i: F.shiftrightunsigned(v, 7 * i)
-        low = lambda i: group(i).bitwiseAND(F.lit(127))
-        # The groups after the first, as far as there are any.
-        more = F.concat(*[F.when(group(i) == 0, empty()).otherwise(byte(low(i) + F.when(group(i + 1) == 0, 0).otherwise(128))) for i in range(1, 10)])
-        return F.when((v >= 0) & (v < 128), byte(v)).otherwise(F.concat(byte(low(0) + 128), more))
+        last = F.floor((F.length(F.bin(v)) - 1) / 7).cast("int")
+        group = lambda i: F.call_function("shiftrightunsigned", v, i * 7).bitwiseAND(F.lit(127))
+        long = F.aggregate(F.sequence(F.lit(0), last), empty(), lambda out, i: F.concat(out, byte(group(i) + F.when(i < last, 128).otherwise(0))))
+        return F.when((v >= 0) & (v < 128), byte(v)).otherwise(long)
 
     return let(value.cast("bigint"), made)
 

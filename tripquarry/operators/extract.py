@@ -91,7 +91,7 @@ def _array_udf(schema: T.StructType, cards):
     def run(html: pa.Array) -> pa.Array:
         return pa.array([None if h is None else cards(h) for h in html.to_pylist()], arrow)
 
-    return run
+    return run.asNondeterministic()  # as for token decoding: arguments may hold nested lambdas
 
 
 def flight_cards_udf():
