@@ -89,3 +89,18 @@ def test_arguments(spark):
     row = {"request_id": "1", "from": "sfo", "to": "jfk", "date": "2025/07/15", "return_date": None, "cabin": "PE", "adults": "2", "children": "0", "infants_in_seat": "0", "infants_on_lap": "1", "trip": "RT", "max_stops": "0", "airlines": "UA, LH"}
     got = readers.flight_arguments(spark.createDataFrame([tuple(row.values())], ", ".join(f"`{n}` string" for n in row))).first()
     assert (got["from_airport"], got["depart_date"], got["cabin_class"], got["trip_type"], got["max_stops"], got["preferred_airlines"]) == ("SFO", "2025-07-15", "premium_economy", "round_trip", None, ["UA", "LH"])
+
+
+def test_hotel_arguments_without_prices(spark):
+    row = {"request_id": "1", "location": "x", "checkin": "2026-01-25", "checkout": "2026-01-31", "adults": "2", "children": "0,7", "rating": None, "amenities": "ev-charger,nope", "stars": "", "min_price": None, "max_price": "99.9", "currency": "usd", "sort": "lowest"}
+    got = readers.hotel_arguments(spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} string" for n in row))).first()
+    assert (got["min_price"], got["max_price"], got["children_ages"], got["hotel_stars"], got["sort_order"], got["currency"], got["nights"]) == (None, 99, [1, 7], [], "lowest_price", "USD", 6)
+    assert got["amenities"] == ["ev_charger"] and got["unknown_amenities"] == ["NOPE"]
+
+
+def test_command_line_dry_run(spark, capsys):
+    from tripquarry import cli
+
+    assert cli.main(["flights", "-f", "sfo", "-t", "jfk", "-d", "2025-07-15", "--trip", "oneway", "--dry-run"], spark) == 0
+    assert "tfs=GhoSCjIwMjUtMDctMTVqBRIDU0ZPcgUSA0pGS0IBAUgBmAEC&" in capsys.readouterr().out
+    assert cli.main(["hotels", "--location", "x", "--checkin", "2026-01-25", "--checkout", "2026-01-24", "--dry-run"], spark) == 1

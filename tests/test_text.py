@@ -63,6 +63,8 @@ def test_layovers(spark, label, want):
         (lambda: text.format_times(F.lit(None).cast("string"), F.lit("9:00")), "??:?? → 9:00"),
         (lambda: text.whole_price(F.lit(1e12)), 2147483647),
         (lambda: text.whole_price(F.lit(-2.9)), -2),
+        (lambda: text.whole_price(F.lit(None).cast("double")), None),
+        (lambda: text.format_duration(F.lit(None).cast("int")), None),
         (lambda: text.rating_code(F.lit(3.0)), 7),
         (lambda: text.children_list(F.lit("0, 7")), [1, 7]),
         (lambda: text.children_list(F.lit("1,x")), None),

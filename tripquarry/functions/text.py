@@ -177,7 +177,7 @@ def dash_bar(width: Column | int) -> Column:
 
 def whole_price(price: Column) -> Column:
     """A price as an int, towards zero, held within the range; not-a-number is 0."""
-    return F.when(F.isnan(price), 0).otherwise(F.greatest(F.least(price, F.lit(2147483647.0)), F.lit(-2147483648.0)).cast("int"))
+    return F.when(price.isNull(), None).when(F.isnan(price), 0).otherwise(F.greatest(F.least(price, F.lit(2147483647.0)), F.lit(-2147483648.0)).cast("int"))
 
 
 def preview(text: Column, n: int) -> Column:
