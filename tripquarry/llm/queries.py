@@ -73,7 +73,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, folder, "documents"), keep=["doc_id"])
-    return judged.select("doc_id", *quality_rules.STATS, "base_failed", "p_good", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_upper", "p_good")
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
