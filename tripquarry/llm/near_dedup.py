@@ -8,9 +8,12 @@
 3. Contents that share a band form a bucket.  A bucket never emits all pairs: each member is
    paired with the bucket's least and greatest member and with its neighbour in the order of the
    next band, so a bucket of n members gives at most 3n candidate links whatever its size.
-4. Candidates are verified by exact weighted Jaccard similarity of the whole texts: first one
-   link for each content, then, of the rest, all whose ends aren't in one class by then.
-5. Verified links are closed to classes by distributed connected components.
+4. Candidates are verified by exact weighted Jaccard similarity of the whole texts, and verified
+   links closed to classes by distributed connected components: first one link for each content,
+   then, of the rest, all whose ends aren't in one class by then.
+5. Members of buckets of more than three (of three, all pairs are linked) are searched once more,
+   in the smaller buckets of those that share a second band as well, in ``DEEPER`` ways: there
+   each is linked with the last one before it that is of another class, one link a member.
 
 ``idf`` grows from 1 to ``1 + GAIN`` with rarity.  It is damped on purpose: the shingles of a text
 that has thousands of near copies are frequent for that reason, and undamped weights would judge
@@ -38,9 +41,10 @@ from .frames import bound_batches, checkpointed, map_batches, set_aside
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
+DEEPER = 4
 SKETCH_BITS, SKETCH_ROWS = 18, 2
-GAIN = 0.25
-STEPS = 16  # weight levels to a factor of e
+GAIN = 0.1
+STEPS = 32  # weight levels to a factor of e
 _DRAWS = 16  # bits of the table of random draws
 _PART = 4096
 _U = np.uint64
@@ -206,32 +210,85 @@ def _features(shared, text_col: str, with_bands: bool):
     return make
 
 
-def _candidates(contents: DataFrame) -> DataFrame:
-    """Candidate links (a < b) between contents (key, bands)."""
-    rows = contents.select(F.col("_key").alias("key"), F.posexplode("_bands").alias("pos", "bucket"), "_bands").select("key", "bucket", F.get("_bands", (F.col("pos") + 1) % BANDS).alias("next"))
-    ends = checkpointed(rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most"))
+def _streamed(rows: DataFrame, pick) -> DataFrame:
+    """Links (a < b) that ``pick(batches)`` finds in rows sorted by bucket and the next band."""
+    order = ["bucket", "next", "key"]
+    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("next").mapInArrow(pick, "a binary, b binary")
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _neighbours(batches):
+    """Every member of a bucket with the one before it."""
+    last = None
+    for batch in batches:
+        bucket, keys = batch.column("bucket").to_numpy(), batch.column("key").to_pylist()
+        a, b = [], []
+        if last is not None and len(keys) and last[0] == bucket[0]:
+            a.append(last[1])
+            b.append(keys[0])
+        for i in np.flatnonzero(bucket[1:] == bucket[:-1]).tolist():
+            a.append(keys[i])
+            b.append(keys[i + 1])
+        if len(keys):
+            last = (bucket[-1], keys[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _strangers(batches):
+    """Every member of a bucket with the last one before it that is of another class."""
+    now, last, other = None, None, None
+    for batch in batches:
+        a, b = [], []
+        for bucket, key, root in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "root"))):
+            if bucket != now:
+                now, last, other = bucket, None, None
+            elif last[1] != root:
+                other = last
+            if other is not None and other[1] != root:
+                a.append(other[0])
+                b.append(key)
+            last = (key, root)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _bucket_rows(contents: DataFrame) -> DataFrame:
+    """(key, pos, bucket, next) for each band of each content."""
+    band = lambda k: F.get("_bands", (F.col("pos") + k) % BANDS)
+    return contents.select("key", F.posexplode("_bands").alias("pos", "bucket"), "_bands").select("key", "pos", "bucket", band(1).alias("next"))
+
+
+def _candidates(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate links, the (key, pos) of members of buckets of more than three)."""
+    rows = _bucket_rows(contents)
+    # Written apart, so that a bucket with very many members is split at run time.
+    ends = checkpointed(rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least <> most"))
     members = rows.join(ends, "bucket")
+    chain = _streamed(members.select("bucket", "key", "next"), _neighbours)
+    hubs = members.select(F.explode(F.array("least", "most")).alias("a"), F.col("key").alias("b")).where("a <> b")
+    links = checkpointed(chain.unionByName(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    return links, checkpointed(members.where("size > 3").select("key", "pos"))
 
-    def neighbours(batches):
-        last = None
-        for batch in batches:
-            bucket, key = batch.column(0).to_numpy(), batch.column(1)
-            keys = key.to_pylist()
-            a, b = [], []
-            if last is not None and len(keys) and last[0] == bucket[0]:
-                a.append(last[1])
-                b.append(keys[0])
-            for i in np.flatnonzero(bucket[1:] == bucket[:-1]).tolist():
-                a.append(keys[i])
-                b.append(keys[i + 1])
-            if len(keys):
-                last = (bucket[-1], keys[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    members = checkpointed(members)
-    chain = members.select("bucket", "key", "next").repartitionByRange("bucket", "next", "key").sortWithinPartitions("bucket", "next", "key").select("bucket", "key").mapInArrow(neighbours, "a binary, b binary")
-    links = chain.unionByName(members.select(F.col("least").alias("a"), F.col("key").alias("b"))).unionByName(members.select(F.col("most").alias("a"), F.col("key").alias("b")))
-    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _deeper(large: DataFrame, contents: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between classes, from contents of large buckets that share a second band as well."""
+    band = lambda k: F.get("_bands", (F.col("pos") + k) % BANDS)
+    step = F.struct(F.xxhash64(F.get("_bands", "pos"), "k", band(F.col("k"))).alias("bucket"), band(F.col("k") + 1).alias("next"))
+    rows = large.join(contents.join(classes, "key"), "key").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(DEEPER)))).select("key", "root", step.alias("x")).select("key", "root", "x.*")
+    mixed = checkpointed(rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket"))
+    return _streamed(rows.join(mixed, "bucket").select("bucket", "key", "root", "next"), _strangers)
+
+
+def _united(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes (key, root) after links between them: components of their roots."""
+    ends = links.join(classes.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
+    moved = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return checkpointed(classes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root")))
+
+
+def _between(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links whose ends are in different classes."""
+    sided = links.join(classes.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
+    return sided.where("ra <> rb").select("a", "b")
 
 
 def _verified(links: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
@@ -266,37 +323,42 @@ def _verified(links: DataFrame, texts: DataFrame, shared, threshold: float) -> D
     return paired.mapInArrow(check, "a binary, b binary").distinct()
 
 
-def near_classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``docs``: (id, ``_key``, ``class_id``, ``representative``).
-
-    ``_key`` is the content digest, null without words; ``representative`` marks the rows of the
-    class's least id with the content that has it.
-    """
+def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(``_id, _key`` of every row; ``_key, class_id, _first, _least`` of every content)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     sketch, n = frequency_sketch(docs, "_text")
     shared = spark.sparkContext.broadcast(Weigher(sketch, n))
     rows = checkpointed(map_batches(docs, [("_key", T.BinaryType()), ("_bands", T.ArrayType(T.LongType(), False))], _features(shared, "_text", True), keep=["_id"]))
-    contents = checkpointed(rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_bands").alias("_bands")))
-    links = checkpointed(_candidates(contents.select("_key", "_bands")))
-    ends = links.select(F.col("a").alias("_key")).unionByName(links.select(F.col("b").alias("_key"))).distinct()
-    wanted = contents.select("_key", "_least").join(ends, "_key", "left_semi")
-    texts = checkpointed(docs.join(wanted, F.col("_id").eqNullSafe(F.col("_least"))).select(F.col("_key").alias("key"), F.col("_text").alias("text")))
-    first = links.groupBy("b").agg(F.min("a").alias("a"))
-    found = checkpointed(_verified(first, texts, shared, threshold))
-    classes = connected_components(found)
-    rest = (
-        links.join(first, ["a", "b"], "left_anti")
-        .join(classes.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left")
-        .join(classes.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
-        .where(~F.coalesce(F.col("_ra") == F.col("_rb"), F.lit(False)))
-        .select("a", "b")
-    )
-    classes = connected_components(found.unionByName(_verified(rest, texts, shared, threshold)))
-    rooted = contents.select("_key", "_least").join(classes.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    contents = checkpointed(rows.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.min("_id").alias("_least"), F.first("_bands").alias("_bands")))
+    links, large = _candidates(contents.select("key", "_bands"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = contents.select("key", "_least").join(ends, "key", "left_semi")
+    texts = checkpointed(docs.join(wanted, F.col("_id").eqNullSafe(F.col("_least"))).select("key", F.col("_text").alias("text")))
+    classes = contents.select("key", F.col("key").alias("root"))
+    # One link for each content first; then what is left between the classes so far; then what
+    # large buckets hold between those.
+    first = checkpointed(links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    classes = _united(classes, _verified(first, texts, shared, threshold))
+    classes = _united(classes, _verified(_between(links.join(first, ["a", "b"], "left_anti"), classes), texts, shared, threshold))
+    further = _deeper(large, contents.select("key", "_bands"), classes).join(links, ["a", "b"], "left_anti")
+    classes = _united(classes, _verified(further, texts, shared, threshold))
+    rooted = contents.select(F.col("key").alias("_key"), "_least").join(classes.withColumnRenamed("key", "_key"), "_key")
     best = rooted.groupBy("root").agg(F.min("_least").alias("class_id"), F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_key"))["_key"].alias("_best"))
     named = rooted.join(best, "root").select("_key", "class_id", (F.col("_key") == F.col("_best")).alias("_first"), "_least")
-    return rows.select("_id", "_key").join(named, "_key", "left").select(
+    # Written apart, so that a join with rows, of which very many may share a content, can be
+    # split at run time.
+    return rows.select("_id", "_key"), checkpointed(named)
+
+
+def near_classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
+    """One row for each row of ``docs``: (id, ``_key``, ``class_id``, ``representative``).
+
+    ``_key`` is the content digest, null without words; ``representative`` marks the rows of the
+    class's least id with the content that has it.
+    """
+    rows, named = _classes(docs, text_col, id_col, threshold)
+    return rows.join(named, "_key", "left").select(
         F.col("_id").alias(id_col),
         "_key",
         F.when(F.col("_key").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -307,7 +369,9 @@ def near_classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
 def drop_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
     """One row of each class stays, that of the least id; columns as they came."""
     names = docs.columns
-    stay = near_classes(docs, text_col=text_col, id_col=id_col, threshold=threshold).where("representative").select(F.col(id_col).alias("_stay_id"), F.col("_key").alias("_stay_key")).distinct()
+    rows, named = _classes(docs, text_col, id_col, threshold)
+    first = named.where("_first").select(F.col("_least").alias("_stay_id"), F.col("_key").alias("_stay_key"))
+    stay = first.unionByName(rows.where("_key is null").select(F.col("_id").alias("_stay_id"), F.col("_key").alias("_stay_key")))
     own = set_aside(docs, ["_key", "_stay_id", "_stay_key"])
     keyed = map_batches(own, [("_key", T.BinaryType())], _features(None, own.columns[names.index(text_col)], False))
     the_id = F.col(own.columns[names.index(id_col)])
