@@ -125,3 +125,23 @@ def test_tool_server(spark):
     assert not got["isError"] and json.loads(got["content"][0]["text"])["search_flights"]["total"] == 2
     assert call("tools/call", {"name": "x"})["error"]["code"] == -32602 and call("x")["error"]["code"] == -32601
     assert serve.answer(spark, None, {"method": "x"}) is None
+
+
+def test_published_schema():
+    flights = schemas.json_schema(schemas.FLIGHT_RESPONSE)
+    body = flights["properties"]["search_flights"]
+    assert flights["required"] == ["search_flights"] and body["required"] == ["total", "query", "results"] and body["additionalProperties"] is False
+    row = body["properties"]["results"]["items"]
+    assert row["required"] == ["price", "airlines", "dur_min"] and row["properties"]["price"] == {"type": "integer", "minimum": 0}
+    hotel = schemas.json_schema(schemas.HOTEL_RESPONSE)["properties"]["search_hotels"]["properties"]["results"]["items"]
+    assert hotel["required"] == ["name", "price", "rating"] and hotel["properties"]["stars"] == {"type": "integer"}
+
+
+def test_token_sources_and_config(spark):
+    from tripquarry import ClientConfig
+
+    got = readers.flight_requests_from_tokens(spark.createDataFrame([("a", "GhoSCjIwMjUtMDctMTVqBRIDU0ZPcgUSA0pGS0IBAUgBmAEC"), ("b", "?")], "request_id string, tfs string")).orderBy("request_id").collect()
+    assert (got[0]["to_airport"], got[0]["decode_error"], got[1]["to_airport"]) == ("JFK", None, None) and got[1]["decode_error"]
+    hotel = readers.hotel_requests_from_tokens(spark.createDataFrame([("a", "CAEaIAoCGgASGhIUCgcI6g8QARgZEgcI6g8QARgfGAYyAggBKgkKBToDRVVSGgA")], "request_id string, ts string")).first()
+    assert (hotel["currency"], hotel["nights"]) == ("EUR", 6)
+    assert ClientConfig().queue(clock=lambda: 0.0).qps == 2

@@ -72,3 +72,25 @@ TOKEN_VECTORS = _struct(
         )
     ),
 )
+
+#: Response fields that may be left out, and the number that may be negative.
+OPTIONAL = {"warnings", "layover", "stars", "amenities"}
+UNBOUNDED = {"stars"}
+
+
+def json_schema(kind: T.DataType, name: str = "") -> dict:
+    """The JSON Schema (draft 07) of a response type: closed objects, numbers from 0 up."""
+    if isinstance(kind, T.StructType):
+        body = {
+            "type": "object",
+            "additionalProperties": False,
+            "required": [f.name for f in kind.fields if f.name not in OPTIONAL],
+            "properties": {f.name: json_schema(f.dataType, f.name) for f in kind.fields},
+        }
+        return body if name else {"$schema": "http://json-schema.org/draft-07/schema#"} | body
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType, f"{name}[]")}
+    if isinstance(kind, T.StringType):
+        return {"type": "string"}
+    number = {"type": "number" if isinstance(kind, T.DoubleType) else "integer"}
+    return number if name in UNBOUNDED else number | {"minimum": 0}

@@ -12,6 +12,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .operators import requests
 from .plans.registry import TOOLS
 from .plans.search import search_flights, search_hotels
@@ -20,6 +21,7 @@ from .sources import readers
 
 # Fixed value: the protocol revision that is spoken.
 PROTOCOL = "2025-03-26"
+OUTPUTS = {"search_flights": schemas.FLIGHT_RESPONSE, "search_hotels": schemas.HOTEL_RESPONSE}
 
 
 def call_tool(spark: SparkSession, pages, name: str, arguments: dict) -> dict:
@@ -40,7 +42,7 @@ def answer(spark: SparkSession, pages, message: dict) -> dict | None:
         if method == "initialize":
             result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "tripquarry", "version": "1"}}
         elif method == "tools/list":
-            result = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}} for n, d in TOOLS.items()]}
+            result = {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}, "outputSchema": schemas.json_schema(OUTPUTS[n])} for n, d in TOOLS.items()]}
         elif method == "tools/call":
             result = call_tool(spark, pages, params.get("name", ""), params.get("arguments") or {})
         else:

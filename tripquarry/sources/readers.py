@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import domains, schemas
-from ..functions import text
+from ..functions import text, tokens
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -95,3 +95,14 @@ def hotel_arguments(frame: DataFrame) -> DataFrame:
         text.whole_price(F.col("max_price").try_cast("double")).alias("max_price"),
         F.filter(wishes, lambda a: ~known(a)).alias("unknown_amenities"),
     )
+
+
+def flight_requests_from_tokens(frame: DataFrame, token_col: str = "tfs", id_col: str = "request_id") -> DataFrame:
+    """Requests read from tokens, with ``decode_error`` for those that aren't one."""
+    decoded = frame.select(F.col(id_col).alias("request_id"), tokens.tfs_decode(F.col(token_col)).alias("_d"))
+    return decoded.select("request_id", "_d.params.*", F.col("_d.error").alias("decode_error"))
+
+
+def hotel_requests_from_tokens(frame: DataFrame, token_col: str = "ts", id_col: str = "request_id") -> DataFrame:
+    decoded = frame.select(F.col(id_col).alias("request_id"), tokens.ts_decode(F.col(token_col)).alias("_d"))
+    return decoded.select("request_id", "_d.params.*", F.col("_d.error").alias("decode_error"))
