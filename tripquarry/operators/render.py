@@ -39,15 +39,24 @@ def flight_cells(itineraries: DataFrame) -> DataFrame:
     return cells.withColumn("warn", F.when(suspicious(F.col("stops"), F.col("duration_minutes")), " ⚠️").otherwise(""))
 
 
-def column_widths(cells: DataFrame, terminal: int = 100) -> DataFrame:
-    """(request_id, a width for each column): the widest cell in bytes, with floors, shrunk in
-    proportion where the terminal is too narrow."""
-    widest = cells.groupBy("request_id").agg(*[F.greatest(F.lit(w), F.max(F.octet_length(n))).alias(n) for n, w in FLOORS.items()])
+def _widest() -> list[Column]:
+    """Aggregates: the widest cell of each column in bytes, with floors."""
+    return [F.greatest(F.lit(w), F.max(F.octet_length(n))).alias(f"{n}_widest") for n, w in FLOORS.items()]
+
+
+def _fitted(terminal: int) -> list[Column]:
+    """Widths from the widest cells, shrunk in proportion where the terminal is too narrow."""
     room = max(0, terminal - MARGIN)
-    total = sum((F.col(n) for n in FLOORS), F.lit(0))
+    widest = {n: F.col(f"{n}_widest") for n in FLOORS}
+    total = sum(widest.values(), F.lit(0))
     shrink = (total > room) & F.lit(room > NARROW)
-    fit = lambda n: F.greatest(F.floor(F.col(n) * (F.lit(float(room)) / total)).cast("int"), F.lit(LEAST[n]))
-    return widest.select("request_id", *[F.when(shrink, fit(n)).otherwise(F.col(n)).cast("int").alias(f"{n}_width") for n in FLOORS])
+    fit = lambda n: F.greatest(F.floor(widest[n] * (F.lit(float(room)) / total)).cast("int"), F.lit(LEAST[n]))
+    return [F.when(shrink, fit(n)).otherwise(widest[n]).cast("int").alias(f"{n}_width") for n in FLOORS]
+
+
+def column_widths(cells: DataFrame, terminal: int = 100) -> DataFrame:
+    """(request_id, a width for each column of ``flight_cells``)."""
+    return cells.groupBy("request_id").agg(*_widest()).select("request_id", *_fitted(terminal))
 
 
 def _left(value: Column, width: Column) -> Column:
@@ -61,14 +70,18 @@ def _right(value: Column, width: int) -> Column:
 
 def flight_table(itineraries: DataFrame, requests: DataFrame, *, terminal: int = 100, top: int = TOP_FLIGHTS) -> DataFrame:
     """(request_id, table): heading, figures, and a line for each of the first ``top`` rows."""
-    cells = flight_cells(itineraries)
-    widths = column_widths(cells, terminal)
-    lines = cells.where(F.col("pos") < top).join(widths, "request_id")
-    line = F.concat(
-        F.lit("  "), _right((F.col("pos") + 1).cast("string"), RANK_WIDTH), *[x for n in FLOORS for x in (F.lit("  "), _left(F.col(n), F.col(f"{n}_width")))], F.lit("   $"), F.coalesce("price", F.lit(0)).cast("string"), "warn"
+    shown = F.struct("pos", *FLOORS, "price", "warn")
+    # One pass over the rows: figures and widths of all, cells of the first few.
+    per = flight_cells(itineraries).groupBy("request_id").agg(
+        F.count("*").alias("_total"), F.coalesce(F.min_by("price", "pos"), F.lit(0)).alias("_best"), F.sort_array(F.collect_list(F.when(F.col("pos") < top, shown))).alias("_top"), *_widest()
     )
-    shown = lines.groupBy("request_id").agg(F.array_join(in_order(line), "\n").alias("_lines"))
-    figures = itineraries.groupBy("request_id").agg(F.count("*").alias("_total"), F.coalesce(F.min_by("price", "pos"), F.lit(0)).alias("_best"))
+    sized = per.select("request_id", "_total", "_best", "_top", *_fitted(terminal))
+
+    def line(x: Column) -> Column:
+        columns = [c for n in FLOORS for c in (F.lit("  "), _left(x[n], F.col(f"{n}_width")))]
+        return F.concat(F.lit("  "), _right((x["pos"] + 1).cast("string"), RANK_WIDTH), *columns, F.lit("   $"), F.coalesce(x["price"], F.lit(0)).cast("string"), x["warn"])
+
+    rows = sized.withColumn("_lines", F.array_join(F.transform("_top", line), "\n"))
     bar, dash = F.lit("=" * RULE), text.dash_bar(terminal)
     titles = {"airline": "AIRLINE", "times": "DEP → ARR", "duration": "DURATION", "stops": "LAYOVERS"}
     header = F.concat(F.lit("  " + "#".rjust(RANK_WIDTH)), *[x for n, t in titles.items() for x in (F.lit("  "), _left(F.lit(t), F.col(f"{n}_width")))], F.lit("   PRICE"))
@@ -77,7 +90,7 @@ def flight_table(itineraries: DataFrame, requests: DataFrame, *, terminal: int =
         bar, F.lit("\n  🛫  "), "from_airport", F.lit(" → "), "to_airport", F.lit(" on "), "depart_date", F.lit("\n"), bar, F.lit("\n\n💰 Best Price:  $"), F.col("_best").cast("string"), F.lit("\n📊 Total Flights: "), F.col("_total").cast("string"),
         F.lit("\n"), url, F.lit("\n🏆 Top "), F.least(F.lit(top), F.col("_total")).cast("string"), F.lit(" Results:\n"), dash, F.lit("\n\n"), header, F.lit("\n"), dash, F.lit("\n\n"), "_lines",
     )
-    return requests.select("request_id", "from_airport", "to_airport", "depart_date", "search_url").join(figures, "request_id").join(widths, "request_id").join(shown, "request_id").select("request_id", table.alias("table"))
+    return requests.select("request_id", "from_airport", "to_airport", "depart_date", "search_url").join(rows, "request_id").select("request_id", table.alias("table"))
 
 
 def hotel_list(hotels: DataFrame, *, limit: int = TOP_HOTELS) -> DataFrame:
