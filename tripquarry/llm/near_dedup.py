@@ -344,10 +344,10 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float) -> t
     further = _deeper(large, contents.select("key", "_bands"), classes).join(links, ["a", "b"], "left_anti")
     classes = _united(classes, _verified(further, texts, shared, threshold))
     rooted = contents.select(F.col("key").alias("_key"), "_least").join(classes.withColumnRenamed("key", "_key"), "_key")
-    best = rooted.groupBy("root").agg(F.min("_least").alias("class_id"), F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_key"))["_key"].alias("_best"))
+    best = checkpointed(rooted.groupBy("root").agg(F.min("_least").alias("class_id"), F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_key"))["_key"].alias("_best")))
     named = rooted.join(best, "root").select("_key", "class_id", (F.col("_key") == F.col("_best")).alias("_first"), "_least")
-    # Written apart, so that a join with rows, of which very many may share a content, can be
-    # split at run time.
+    # Both written apart, so that joins with a class of very many contents, or with very many
+    # rows of one content, can be split at run time.
     return rows.select("_id", "_key"), checkpointed(named)
 
 
