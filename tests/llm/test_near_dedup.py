@@ -121,3 +121,39 @@ def test_components(spark):
         assert all(want[k] == v for k, v in got.items())
         assert {k for k, v in enumerate(want) if v != k} <= set(got)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_original_links_copies_that_do_not_link_each_other(spark):
+    draw = random.Random(5)
+    base = [f"w{draw.randint(0, 10**9)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for c in range(1000):
+        w = base[:]
+        for i in draw.sample(range(0, 200, 10), 4):
+            w[i] = f"e{c}x{i}"
+        texts.append(" ".join(w))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["class_id"] for r in N.near_classes(frame).collect()}
+    assert got == {0}
+
+
+def test_blocks_compare_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 7)
+    draw = random.Random(6)
+    texts = []
+    for f in range(3):
+        base = [f"b{f}x{draw.randint(0, 10**9)}" for _ in range(200)]
+        for c in range(60):
+            w = base[:]
+            for i in draw.sample(range(0, 200, 10), 3 + f):
+                w[i] = f"e{f}x{c}x{i}"
+            texts.append(" ".join(w))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch, n = N.frequency_sketch(frame, "text")
+    weigher = N.Weigher(sketch, n)
+    w = wordscan.Words(*wordscan.text_buffers(pa.array(texts)))
+    h, t, level = weigher.weighted(w)
+    bands = weigher.bands(h, t, level, len(texts))
+    sets = [(h[t == i], level[t == i]) for i in range(len(texts))]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (bands[i] == bands[j]).any() and weigher.similarity(*sets[i], *sets[j]) >= N.SIMILARITY - 1e-12]
+    assert {r["doc_id"]: r["class_id"] for r in N.near_classes(frame).collect()} == dict(enumerate(components(len(texts), links)))

@@ -11,9 +11,9 @@
 4. Candidates are verified by exact weighted Jaccard similarity of the whole texts, and verified
    links closed to classes by distributed connected components: first one link for each content,
    then, of the rest, all whose ends aren't in one class by then.
-5. Members of buckets of more than three (of three, all pairs are linked) are searched once more,
-   in the smaller buckets of those that share a second band as well, in ``DEEPER`` ways: there
-   each is linked with the last one before it that is of another class, one link a member.
+5. In buckets of more than three (of three, all pairs are linked), every pair that is still in
+   two classes is compared exactly, in blocks of bounded size.  So no pair that shares a band and
+   reaches the threshold is left in two classes.
 
 ``idf`` grows from 1 to ``1 + GAIN`` with rarity.  It is damped on purpose: the shingles of a text
 that has thousands of near copies are frequent for that reason, and undamped weights would judge
@@ -41,7 +41,7 @@ from .frames import bound_batches, checkpointed, map_batches, set_aside
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-DEEPER = 4
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000  # of a block of a bucket
 SKETCH_BITS, SKETCH_ROWS = 18, 2
 GAIN = 0.1
 STEPS = 32  # weight levels to a factor of e
@@ -201,6 +201,7 @@ def _features(shared, text_col: str, with_bands: bool):
             for lo, hi, words in wordscan.scan(batch.column(text_col)):
                 new = {"_key": pa.array(content_keys(words, hi - lo), pa.binary())}
                 if weigher is not None:
+                    new["_size"] = pa.array(words.counts.astype(np.int64))
                     bands = weigher.bands(*weigher.weighted(words), hi - lo)
                     new["_bands"] = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS).astype(np.int32)), pa.array(bands.ravel()))
                 yield lo, hi, new
@@ -234,21 +235,67 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _strangers(batches):
-    """Every member of a bucket with the last one before it that is of another class."""
-    now, last, other = None, None, None
-    for batch in batches:
-        a, b = [], []
-        for bucket, key, root in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "root"))):
-            if bucket != now:
-                now, last, other = bucket, None, None
-            elif last[1] != root:
-                other = last
-            if other is not None and other[1] != root:
-                a.append(other[0])
-                b.append(key)
-            last = (key, root)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+def _compared(threshold: float):
+    """Links between classes in groups of (bucket, i, j): strangers of block i against members of
+    block j, every pair that is in two classes, by exact similarity.
+
+    Of the links found in a group, those whose ends are joined by earlier ones of it are left out.
+    """
+
+    def links(rows):
+        pos, i, j = rows[0]["pos"], rows[0]["i"], rows[0]["j"]
+        keys = [r["key"] for r in rows]
+        names = sorted({r["root"] for r in rows})
+        number = {x: n for n, x in enumerate(names)}
+        label = np.array([number[r["root"]] for r in rows])
+        stranger = np.array([r["s"] >= 0 for r in rows])
+        left, right = np.array([r["s"] == i for r in rows]), np.array([r["o"] == j for r in rows])
+        rank = np.empty(len(rows), np.int64)
+        rank[sorted(range(len(rows)), key=keys.__getitem__)] = np.arange(len(rows))
+        earlier = np.array([r["_bands"][:pos] for r in rows], np.int64).reshape(len(rows), pos)
+        starts = np.cumsum([0] + [len(r["l"]) for r in rows])
+        distinct, ids = np.unique(np.frombuffer(b"".join(r["h"] for r in rows), np.uint64), return_inverse=True)
+        w = np.exp(np.frombuffer(b"".join(r["l"] for r in rows), np.uint8) / STEPS)
+        mass = np.add.reduceat(w, starts[:-1])
+        own = np.zeros(len(distinct))
+        for p in np.flatnonzero(left).tolist():
+            # A pair of two strangers meets in two groups, and any pair in each band it shares:
+            # it is tried once.
+            mask = right & (label != label[p]) & (~stranger | (rank > rank[p])) & (np.minimum(mass, mass[p]) >= (threshold - 1e-9) * np.maximum(mass, mass[p]))
+            if pos:
+                mask &= ~(earlier == earlier[p]).any(1)
+            at = np.flatnonzero(mask)
+            if not len(at):
+                continue
+            sizes = starts[at + 1] - starts[at]
+            ends = np.cumsum(sizes)
+            where = np.arange(ends[-1]) + np.repeat(starts[at] - ends + sizes, sizes)
+            mine = slice(starts[p], starts[p + 1])
+            own[ids[mine]] = w[mine]
+            common = np.add.reduceat(np.minimum(own[ids[where]], w[where]), ends - sizes)
+            own[ids[mine]] = 0
+            for m in at[common / (mass[p] + mass[at] - common) >= threshold - 1e-12].tolist():
+                if label[m] != label[p]:
+                    yield rows[p]["root"], rows[m]["root"]
+                    label[label == label[m]] = label[p]
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            a, b = [], []
+            for r in batch.to_pylist():
+                if (r["bucket"], r["i"], r["j"]) != now:
+                    for x, y in links(rows) if rows else ():
+                        a.append(x)
+                        b.append(y)
+                    now, rows = (r["bucket"], r["i"], r["j"]), []
+                rows.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        if rows:
+            found = list(links(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    return run
 
 
 def _bucket_rows(contents: DataFrame) -> DataFrame:
@@ -257,31 +304,73 @@ def _bucket_rows(contents: DataFrame) -> DataFrame:
     return contents.select("key", F.posexplode("_bands").alias("pos", "bucket"), "_bands").select("key", "pos", "bucket", band(1).alias("next"))
 
 
-def _candidates(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidate links, the (key, pos) of members of buckets of more than three)."""
+def _candidates(contents: DataFrame) -> DataFrame:
+    """Candidate links, a linear number in each bucket; of a bucket of three, all."""
     rows = _bucket_rows(contents)
     # Written apart, so that a bucket with very many members is split at run time.
     ends = checkpointed(rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least <> most"))
     members = rows.join(ends, "bucket")
     chain = _streamed(members.select("bucket", "key", "next"), _neighbours)
     hubs = members.select(F.explode(F.array("least", "most")).alias("a"), F.col("key").alias("b")).where("a <> b")
-    links = checkpointed(chain.unionByName(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-    return links, checkpointed(members.where("size > 3").select("key", "pos"))
+    return checkpointed(chain.unionByName(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
 
 
-def _deeper(large: DataFrame, contents: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes, from contents of large buckets that share a second band as well."""
-    band = lambda k: F.get("_bands", (F.col("pos") + k) % BANDS)
-    step = F.struct(F.xxhash64(F.get("_bands", "pos"), "k", band(F.col("k"))).alias("bucket"), band(F.col("k") + 1).alias("next"))
-    rows = large.join(contents.join(classes, "key"), "key").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(DEEPER)))).select("key", "root", step.alias("x")).select("key", "root", "x.*")
-    mixed = checkpointed(rows.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket"))
-    return _streamed(rows.join(mixed, "bucket").select("bucket", "key", "root", "next"), _strangers)
+def _shingled(texts: DataFrame, shared) -> DataFrame:
+    """(key, h, l): sorted shingle hashes and weight levels of each content, as bytes."""
+    bound_batches(texts.sparkSession)
+
+    def run(batches):
+        weigher: Weigher = shared.value
+        for batch in batches:
+            for lo, hi, words in wordscan.scan(batch.column(1)):
+                h, t, level = weigher.weighted(words)
+                cut = np.searchsorted(t, np.arange(hi - lo + 1)).tolist()
+                level = level.astype(np.uint8)  # at most 32 * (ln(1 + ln tf) + 0.1), below 128
+                names = batch.column(0).slice(lo, hi - lo).to_pylist()
+                right = [d for d, key in enumerate(content_keys(words, hi - lo)) if key == names[d]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[d] for d in right], pa.binary()), pa.array([h[cut[d] : cut[d + 1]].tobytes() for d in right], pa.binary()), pa.array([level[cut[d] : cut[d + 1]].tobytes() for d in right], pa.binary())], names=["key", "h", "l"]
+                )
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, h binary, l binary").groupBy("key").agg(F.first("h").alias("h"), F.first("l").alias("l"))
+
+
+def _remaining(contents: DataFrame, classes: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links between roots: of all pairs that share a bucket of more than three and are in two
+    classes, those whose similarity reaches the threshold.
+
+    Every such pair has a *stranger*, one that isn't of the bucket's most frequent class.  The
+    strangers and all members of a bucket are dealt into blocks of bounded size by a hash of their
+    key, and each pair of blocks is a group of its own, so that a large bucket is spread over
+    tasks and one with few strangers costs members times strangers.
+    """
+    rows = contents.join(classes, "key").select("key", "root", "_size", F.posexplode("_bands").alias("pos", "bucket"))
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("_size").alias("w"))
+    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 3 and n > top.n")
+    blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK_MEMBERS), w / F.lit(BLOCK_SHINGLES))).cast("int")
+    # Written apart, so that a bucket with very many members is split at run time.
+    mixed = checkpointed(top.select("bucket", F.col("top.root").alias("main"), blocks(F.col("n"), F.col("w")).alias("nb"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("sb")))
+    own = F.xxhash64("key", "bucket")
+    placed = rows.join(mixed, "bucket").select("bucket", "pos", "key", "root", "nb", "sb", F.pmod(own, "nb").cast("int").alias("o"), F.when(F.col("root") == F.col("main"), -1).otherwise(F.pmod(own, "sb")).cast("int").alias("s"))
+    group = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("sb") - 1), lambda i: group(i, F.col("o")))
+    as_stranger = F.when(F.col("s") >= 0, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: group(F.col("s"), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    dealt = checkpointed(placed.select("bucket", "pos", "key", "root", "o", "s", F.explode(F.array_union(as_member, as_stranger)).alias("x")).select("bucket", "pos", "key", "root", "o", "s", "x.*"))
+    shingled = checkpointed(_shingled(texts.join(dealt.select("key").distinct(), "key", "left_semi"), shared).join(contents.select("key", "_bands"), "key"))
+    by = ["bucket", "i", "j"]
+    found = dealt.join(shingled, "key").repartition(*by).sortWithinPartitions(*by).mapInArrow(_compared(threshold), "a binary, b binary")
+    return checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _united(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes (key, root) after links between them: components of their roots."""
     ends = links.join(classes.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
-    moved = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return _merged(classes, ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+
+
+def _merged(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes (key, root) after links between roots."""
+    moved = connected_components(roots)
     return checkpointed(classes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root")))
 
 
@@ -329,20 +418,19 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float) -> t
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     sketch, n = frequency_sketch(docs, "_text")
     shared = spark.sparkContext.broadcast(Weigher(sketch, n))
-    rows = checkpointed(map_batches(docs, [("_key", T.BinaryType()), ("_bands", T.ArrayType(T.LongType(), False))], _features(shared, "_text", True), keep=["_id"]))
-    contents = checkpointed(rows.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.min("_id").alias("_least"), F.first("_bands").alias("_bands")))
-    links, large = _candidates(contents.select("key", "_bands"))
+    rows = checkpointed(map_batches(docs, [("_key", T.BinaryType()), ("_size", T.LongType()), ("_bands", T.ArrayType(T.LongType(), False))], _features(shared, "_text", True), keep=["_id"]))
+    contents = checkpointed(rows.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.min("_id").alias("_least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")))
+    links = _candidates(contents.select("key", "_bands"))
     ends = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = contents.select("key", "_least").join(ends, "key", "left_semi")
     texts = checkpointed(docs.join(wanted, F.col("_id").eqNullSafe(F.col("_least"))).select("key", F.col("_text").alias("text")))
     classes = contents.select("key", F.col("key").alias("root"))
-    # One link for each content first; then what is left between the classes so far; then what
-    # large buckets hold between those.
+    # One link for each content first; then what is left between the classes so far; then every
+    # pair of large buckets that is in two classes.
     first = checkpointed(links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     classes = _united(classes, _verified(first, texts, shared, threshold))
     classes = _united(classes, _verified(_between(links.join(first, ["a", "b"], "left_anti"), classes), texts, shared, threshold))
-    further = _deeper(large, contents.select("key", "_bands"), classes).join(links, ["a", "b"], "left_anti")
-    classes = _united(classes, _verified(further, texts, shared, threshold))
+    classes = _merged(classes, _remaining(contents, classes, texts, shared, threshold))
     rooted = contents.select(F.col("key").alias("_key"), "_least").join(classes.withColumnRenamed("key", "_key"), "_key")
     best = checkpointed(rooted.groupBy("root").agg(F.min("_least").alias("class_id"), F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_key"))["_key"].alias("_best")))
     named = rooted.join(best, "root").select("_key", "class_id", (F.col("_key") == F.col("_best")).alias("_first"), "_least")
