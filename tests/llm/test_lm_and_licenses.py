@@ -56,6 +56,55 @@ def test_training_learns_from_both_sides():
     assert before < -3 and network.log_probabilities(sides, classes).mean() > -0.3
 
 
+def test_every_word_is_a_target_once(spark, monkeypatch):
+    seen = []
+
+    class Spy(L.WindowNetwork):
+        def train(self, sides, target, sums):
+            seen.append(target.copy())
+
+    texts = ["a b c d e f g h i", "j", "k l m n o p q r s t u v w x y z " * 3]
+    w = wordscan.Words(*wordscan.text_buffers(pa.array(texts)))
+    lexicon = L.Lexicon([(int(h), 1) for h in np.unique(w.hashes).view(np.int64)], [])
+
+    class Frame:
+        """Runs the training function here, on one batch."""
+
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):
+            if not hasattr(self, "done"):
+                self.done = True
+                list(f([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            del self.done
+            return iter(())
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(L, "WindowNetwork", Spy)
+    monkeypatch.setattr("pyspark.TaskContext", Context)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: type("Shared", (), {"value": x}))
+    L.train_network(Frame(), lexicon)
+    classes, _ = lexicon.classes(w.hashes)
+    assert np.bincount(np.concatenate(seen), minlength=lexicon.size).tolist() == np.bincount(classes, minlength=lexicon.size).tolist()
+
+
 def matches(texts, templates, least=0.8):
     index, out = S.TemplateIndex(templates), []
     for lo, hi, w in wordscan.scan(pa.array(texts, pa.string())):

@@ -12,7 +12,7 @@ A document's score is the sum over its words.
 Word counts are gathered from all documents by a shuffle that is combined in the workers and
 map-side first; what reaches the driver is a fixed number of words and counters.  Training is data-parallel: in
 each of ``ROUNDS`` rounds every task trains its own copy on every ``STRIDE``-th window of each of
-its documents (another phase each round), and the copies are averaged, weighted by their windows,
+its documents (another phase each round, so that every word is a target once), and the copies are averaged, weighted by their windows,
 in streams.  So the gathered counts, the windows trained on and the copies all grow with the
 input, while a task's memory doesn't.
 
@@ -36,7 +36,7 @@ TOP_WORDS, BUCKETS = 160, 32
 SLOT_BITS = 18
 SIDES = (-2, -1, 1, 2)
 WIDTH = 24
-ROUNDS, STRIDE = 2, 16
+ROUNDS, STRIDE = 2, 2  # as many rounds as phases: every window is trained on once
 MINIBATCH, RATE = 1024, 0.05
 SHARDS = 16
 _PENDING = 400_000
