@@ -133,6 +133,20 @@ def lcs(a, b):
     return row[-1]
 
 
+def test_one_word_edits_of_short_statements():
+    cases = [("Released under MIT License", "mit-statement"), ("Released under an MIT License", "mit-statement"), ("Released under the new MIT License", "mit-statement")]
+    for name, template in S.TEMPLATES.items():
+        w = words(template)
+        if len(w) <= S.SHORT:
+            for i in range(len(w)):
+                cases += [(" ".join(x), name) for x in (w[:i] + w[i + 1 :], w[:i] + ["zzz"] + w[i + 1 :], w[:i] + ["zzz"] + w[i:])]
+    texts = [f"some words before it. {c} and some words after it" for c, _ in cases]
+    for (c, name), found in zip(cases, matches(texts, S.TEMPLATES)):
+        template = words(S.TEMPLATES[name])
+        best = lcs(template, words(c))
+        assert best < 0.8 * len(template) or max((m["matched"] for m in found if m["license"] == name), default=0) >= best, c
+
+
 def test_alignment_equals_the_longest_common_subsequence():
     draw = np.random.default_rng(0)
     for _ in range(200):

@@ -2,7 +2,10 @@
 
 Templates are word sequences.  Their winnowed fingerprints (of each window of consecutive k-word
 hashes the least is kept) form an inverted index, a fixed small table that is broadcast.  The
-k-word hashes of a text that meet the index give (template, diagonal) candidates; around each, a
+k-word hashes of a text that meet the index give (template, diagonal) candidates.  A template of up
+to ``SHORT`` words is looked for by single words instead: if ``need`` of its m words must match, any
+m - need + 1 of its places hold a match, so those (of the longest words) are indexed, and a hit counts
+where ``need`` of the template's words stand around it.  Around each candidate, a
 banded alignment of the words reports how many template words are matched and where.
 
 Defined results: null and empty texts have no matches; templates of fewer than k words are one
@@ -12,6 +15,8 @@ the earlier on ties; an empty template list finds nothing; repeated rows are sca
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +26,7 @@ from . import wordscan
 from .frames import map_batches, set_aside
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 6, 0.8
+SHORT = 16  # words of templates that are looked for by single words
 
 # Common public license statements and notices.
 TEMPLATES = {
@@ -49,11 +55,12 @@ def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 class TemplateIndex:
     def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINDOW):
         self.k, self.names = k, sorted(templates)
-        self.words = []
+        self.words, self.lengths = [], []
         prints, where = [], []
         for i, name in enumerate(self.names):
             words = wordscan.Words(*wordscan.text_buffers(pa.array([templates[name]], pa.string())))
             self.words.append(words.hashes)
+            self.lengths.append(words.ends - words.starts)
             if not len(words.starts):
                 continue
             grams, at = words.grams(min(k, len(words.starts)))
@@ -67,10 +74,37 @@ class TemplateIndex:
         self.bits = np.zeros(1 << 16, bool)
         self.bits[(self.prints >> np.uint64(48)).astype(np.int64)] = True
 
-    def candidates(self, words: wordscan.Words):
+    def anchors(self, least: float) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(sorted word hashes, the (template, place, need) of each) of short templates."""
+        found = []
+        for i, w in enumerate(self.words):
+            m = len(w)
+            if 0 < m <= SHORT:
+                need = max(1, next((n for n in range(m) if n >= least * m), m))
+                places = np.argsort(-self.lengths[i].astype(np.int64), kind="stable")[: m - need + 1]
+                found += [(int(w[p]), i, int(p), need) for p in places]
+        found.sort()
+        return np.array([x[0] for x in found], np.uint64), [x[1:] for x in found]
+
+    def _short(self, words: wordscan.Words, least: float):
+        hashes, where = self.anchors(least)
+        texts = words.texts
+        at = np.flatnonzero(np.isin(words.hashes, hashes))
+        left, right = np.searchsorted(hashes, words.hashes[at]), np.searchsorted(hashes, words.hashes[at], "right")
+        bags = {t: Counter(self.words[t].tolist()) for t, _, _ in where}
+        for p, lo, hi in zip(at.tolist(), left.tolist(), right.tolist()):
+            text = int(texts[p])
+            for template, place, need in where[lo:hi]:
+                start = p - place
+                start -= start % (BAND // 2)
+                a, b = max(int(words.of_text[text]), start - BAND), min(int(words.of_text[text + 1]), start + len(self.words[template]) + 2 * BAND)
+                if (bags[template] & Counter(words.hashes[a:b].tolist())).total() >= need:
+                    yield text, template, start
+
+    def candidates(self, words: wordscan.Words, least: float = COVERAGE):
         """Distinct (template, first word that the template's start would be at, rounded to the
         band, text)."""
-        found = set()
+        found = set(self._short(words, least))
         texts = words.texts
         for k in self.sizes:
             grams, at = words.grams(k)
@@ -121,7 +155,7 @@ _ARROW = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()
 def _matches(index: TemplateIndex, words: wordscan.Words, n: int, least: float) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(n)]
     seen: dict[tuple[int, int], set] = {}
-    for text, template, start in index.candidates(words):
+    for text, template, start in index.candidates(words, least):
         lo, hi = int(words.of_text[text]), int(words.of_text[text + 1])
         pattern = index.words[template]
         a = max(lo, start - BAND)
