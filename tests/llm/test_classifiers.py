@@ -116,3 +116,12 @@ def test_calibration_is_monotone():
     fitted = Calibration(votes, (draw.random(500) < votes).astype(float))
     grid = fitted(np.linspace(0, 1, 50))
     assert (np.diff(grid) >= 0).all() and grid[0] < 0.2 and grid[-1] > 0.8
+
+
+def test_toxicity_counts_above_255_keep_their_cosine():
+    counts, labels = np.array([[600, 300], [300, 600], [1, 1]], np.float32), np.array([1.0, 0.0, 0.0])
+    model = X.ToxicityModel(X.Vocabulary(["bad", "worse"]), counts, labels, np.array([3.0, 3.0]), 9)
+    assert len(model.total) == 3
+    _, near = model.score(np.array([[900, 300]], np.float32))
+    own, other = np.array([900, 300, X.CONSTANT]), np.array([600, 300, X.CONSTANT])
+    assert abs(near[0][0]["cosine"] - own @ other / np.linalg.norm(own) / np.linalg.norm(other)) < 1e-5

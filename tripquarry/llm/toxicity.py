@@ -185,7 +185,7 @@ class ToxicityModel:
         self.vocabulary, self.k, self.width, self.constant = vocabulary, neighbours, width, constant
         idf = np.log((1 + n) / (1 + df)) + 1 if len(df) else np.zeros(0)
         self.idf = (idf / (idf.mean() if len(idf) else 1)).astype(np.float32)
-        unique, which = np.unique(np.minimum(counts, 255).astype(np.uint8), axis=0, return_inverse=True) if len(counts) else (np.zeros((0, len(df)), np.uint8), np.zeros(0, int))
+        unique, which = np.unique(counts.astype(np.int32), axis=0, return_inverse=True) if len(counts) else (np.zeros((0, len(df)), np.uint8), np.zeros(0, int))
         which = which.reshape(-1)
         self.positive = np.bincount(which, labels, len(unique))
         self.total = np.bincount(which, minlength=len(unique)).astype(float)
@@ -230,7 +230,7 @@ class ToxicityModel:
         """(scores, cosines of the nearest few as evidence) for rows of word counts."""
         if self.calibrate is None:
             return np.zeros(len(counts)), [[] for _ in counts]
-        unique, which = np.unique(np.minimum(counts, 255).astype(np.uint8), axis=0, return_inverse=True)
+        unique, which = np.unique(counts.astype(np.int32), axis=0, return_inverse=True)
         raw, near = np.zeros(len(unique)), [[]] * len(unique)
         for q, entries, cos in self.index.nearest(self._vectors(unique.astype(np.float32)), self.total, self.k):
             raw[q] = self._vote(self.positive[entries], self.total[entries], cos)
