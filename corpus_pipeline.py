@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripquarry.llm import byte_bpe, decontaminate, near_dedup, quality_knn, quality_rules
+from tripquarry.llm.frames import shared_folder
 from tripquarry.llm.queries import table, tokenizer
 
 
@@ -59,13 +60,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``; between stages, Parquet in the shared checkpoint folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; between stages, Parquet in the shared checkpoint folder.
+
+    What a stage has written goes when the stage after it is written; what the last one reads
+    stays, since its rows are computed when the caller asks for them.
+    """
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, folder, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, folder)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{place}/{k}")
             docs = spark.read.parquet(f"{place}/{k}")
+            if k:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{k - 1}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs

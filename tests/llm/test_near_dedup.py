@@ -123,6 +123,48 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_at_every_switch(spark):
+    draw = random.Random(12)
+    # Shuffled paths with chords: more links than nodes at first, as many as nodes later.
+    links = []
+    for c in range(3):
+        nodes = draw.sample(range(c * 100, c * 100 + 100), 100)
+        links += [(nodes[i], nodes[j]) for i in range(100) for j in range(i + 1, min(100, i + 4))]
+    want = components(300, links)
+    frame = spark.createDataFrame(links, "a long, b long")
+    for limit in (0, 150, 296, 297, 300, 400, 700, len(links) - 1, len(links)):
+        rows = connected_components(frame, one_task=limit).collect()
+        assert len(rows) == 300 and all(want[r["node"]] == r["root"] for r in rows), limit
+
+
+def test_classes_whatever_the_switch_and_the_partitions(spark, monkeypatch):
+    from tripquarry.llm import components as C
+
+    draw = random.Random(4)
+    texts = []
+    for f in range(4):  # chains: each text is an edit of the one before it
+        w = [f"c{f}x{i}" for i in range(150)]
+        for step in range(12):
+            w = w[:]
+            w[(step * 11) % 150] = f"e{f}x{step}"
+            texts.append(" ".join(w))
+    draw.shuffle(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    answers = []
+    for limit, parts in ((10**6, 1), (0, 4), (20, 7)):
+        monkeypatch.setattr(N, "connected_components", lambda e, limit=limit: C.connected_components(e, one_task=limit))
+        rows = N.near_classes(frame.repartition(parts)).collect()
+        assert len(rows) == len(texts)
+        answers.append({r["doc_id"]: r["class_id"] for r in rows})
+    assert answers[0] == answers[1] == answers[2] and len(set(answers[0].values())) == 4
+
+
+def test_rows_without_words_stay_even_with_one_id(spark):
+    frame = spark.createDataFrame([(1, ""), (1, ""), (1, None), (None, "..."), (2, "a b"), (2, "a b"), (3, "A, b")], "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in N.drop_near_copies(frame).collect())
+    assert kept == [(0, "..."), (1, ""), (1, ""), (1, ""), (2, "a b")]
+
+
 def test_one_original_links_copies_that_do_not_link_each_other(spark):
     draw = random.Random(5)
     base = [f"w{draw.randint(0, 10**9)}" for _ in range(200)]

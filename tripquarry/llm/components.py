@@ -72,10 +72,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int =
     """
     edges = checkpointed(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = _mark(edges)
-    if seen[0] <= one_task:
-        edges, max_rounds = checkpointed(_closed(edges)), 1
     for _ in range(max_rounds):
         if seen[0] <= one_task:
+            # Also when rounds have shrunk the table to this: a round keeps the components.
+            edges = checkpointed(_closed(edges))
             break
         edges = checkpointed(_small_star(_large_star(edges)))
         now = _mark(edges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -42,17 +44,32 @@ def set_aside(df: DataFrame, own: list[str]) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share.
+def released(*shared) -> None:
+    """Take broadcasts off the executors once what needed them is written."""
+    for broadcast in shared:
+        broadcast.unpersist(blocking=False)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between steps, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) is
-    one under the warehouse folder taken.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset on one machine (tests)
+    is it a folder under the warehouse; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -5,19 +5,22 @@
 2. Each text becomes weighted shingles, weight ``(1 + ln tf) * idf`` rounded on a logarithmic
    scale, and ``BANDS * ROWS`` improved consistent weighted samples.  Texts with the same words
    are one *content* (128-bit digest); they are grouped first, combined map-side.
-3. Contents that share a band form a bucket.  A bucket never emits all pairs: each member is
-   paired with the bucket's least and greatest member and with its neighbour in the order of the
-   next band, so a bucket of n members gives at most 3n candidate links whatever its size.
-4. Candidates are verified by exact weighted Jaccard similarity of the whole texts, and verified
-   links closed to classes by distributed connected components: first one link for each content,
-   then, of the rest, all whose ends aren't in one class by then.
-5. In buckets of more than three (of three, all pairs are linked), every pair that is still in
-   two classes is compared exactly, in blocks of bounded size.  So no pair that shares a band and
-   reaches the threshold is left in two classes.
-
-``idf`` grows from 1 to ``1 + GAIN`` with rarity.  It is damped on purpose: the shingles of a text
-that has thousands of near copies are frequent for that reason, and undamped weights would judge
-such copies by their edits alone.
+3. Contents that share a band form a bucket.  A bucket never emits all pairs: its *hub* is the
+   member whose buckets hold the most members in all, which is the text that others were copied
+   from where there is one, and each content is tried against the best hub of its buckets, so
+   there is one candidate link a content at most.
+4. The shingles of contents in buckets are written once.  Links are verified on them by exact
+   weighted Jaccard similarity and closed to classes by distributed connected components.
+5. In every bucket that still holds two classes, every pair of members in two classes is compared
+   exactly, in blocks of bounded size.  So no pair that shares a band and reaches the threshold is
+   left in two classes, and the result depends on no order or partition of the rows.
+
+``idf = ln(1 / max(share, FULL))`` for the share of documents that hold a shingle: shingles in up to
+``FULL`` of all documents (also those of sizeable groups of copies) count in full, and more
+frequent ones, such as lines and passages that many texts share, less and less.  A counter of the
+sketch errs by about words a document / 2 ** SKETCH_BITS of all documents, whatever their number,
+which is far below ``FULL``: the weights behave alike at every size.  ``PRIOR`` documents without
+any shingle are counted too, so that a small collection has no frequent ones by chance.
 
 Defined results: a text of one to four words has one shingle, all its words; a text without words
 (null, empty, punctuation) is a class of its own; repeated rows and equal texts are one class; the
@@ -30,21 +33,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordscan
 from .components import connected_components
-from .frames import bound_batches, checkpointed, map_batches, set_aside
+from .frames import bound_batches, checkpointed, map_batches, released, set_aside
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 400_000  # of a block of a bucket
 SKETCH_BITS, SKETCH_ROWS = 18, 2
-GAIN = 0.1
+FULL = 0.05  # share of documents up to which a shingle counts in full
+PRIOR = 20_000  # documents without it that a shingle's share also counts
 STEPS = 32  # weight levels to a factor of e
+WANTED_BITS = 22  # of the table that tells which rows' shingles are worth sending
 _DRAWS = 16  # bits of the table of random draws
 _PART = 4096
 _U = np.uint64
@@ -84,78 +89,99 @@ def _slots(h: np.ndarray, row: int) -> np.ndarray:
     return (h * _U(0xC2B2AE3D27D4EB4F + 2 * row * 0x165667B19E3779F9 & (1 << 64) - 1) >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _merged_parts(parts: DataFrame, size: int, merge: np.ufunc) -> np.ndarray:
+    """An array of ``size`` longs from rows (part, values) of ``_PART`` of them; rows of one part
+    are merged in streams, and what reaches the driver is the array."""
+    schema = "part int, counts binary"
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(raw, np.int64)
+                sums[part] = merge(sums[part], x) if part in sums else x
+        if sums:
+            yield _part_rows(sums)
+
+    out = np.zeros((-(-size // _PART), _PART), np.int64)
+    for r in parts.repartition("part").mapInArrow(run, schema).toLocalIterator():
+        out[r["part"]] = merge(out[r["part"]], np.frombuffer(bytes(r["counts"]), np.int64))
+    return out.ravel()[:size]
+
+
+def _part_rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "counts"])
+
+
+def _used_parts(table: np.ndarray):
+    """The parts of a task's table that aren't zero, a few at a time."""
+    rows = table.reshape(-1, _PART)
+    used = np.flatnonzero(rows.any(1))
+    for lo in range(0, len(used), 32):
+        yield _part_rows({int(p): rows[p] for p in used[lo : lo + 32]})
+
+
 def frequency_sketch(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple[np.ndarray, int]:
     """(count-min sketch of document frequencies, documents), over all rows."""
     bound_batches(docs.sparkSession)
-    width = 1 << SKETCH_BITS
+    size = SKETCH_ROWS << SKETCH_BITS
 
     def count(batches):
-        total, n = np.zeros((SKETCH_ROWS, width), np.int64), 0
+        total = np.zeros(size + _PART, np.int64)  # the last part: documents
         for batch in batches:
             for lo, hi, words in wordscan.scan(batch.column(0)):
                 h, _, _ = counted(*shingles(words, k))
                 for r in range(SKETCH_ROWS):
                     slots, c = np.unique(_slots(h, r), return_counts=True)
-                    total[r, slots] += c
-                n += hi - lo
-        if n:
-            parts = total.reshape(-1, _PART)
-            used = np.flatnonzero(parts.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array([*(x.tobytes() for x in parts[used].astype(np.int64)), np.int64(n).tobytes()], pa.binary())], names=["part", "counts"])
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.int64)
-                sums[part] = sums[part] + x if part in sums else x.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+                    total[slots + (r << SKETCH_BITS)] += c
+                total[size] += hi - lo
+        yield from _used_parts(total)
 
-    rows = docs.select(text_col).mapInArrow(count, "part int, counts binary").repartition("part").mapInArrow(merge, "part int, counts binary").toLocalIterator()
-    sketch, n = np.zeros((SKETCH_ROWS * width // _PART, _PART), np.int64), 0
-    for r in rows:
-        x = np.frombuffer(bytes(r["counts"]), np.int64)
-        if r["part"] < 0:
-            n += int(x[0])
-        else:
-            sketch[r["part"]] += x
-    return sketch.reshape(SKETCH_ROWS, width), n
+    total = _merged_parts(docs.select(text_col).mapInArrow(count, "part int, counts binary"), size + 1, np.add)
+    return total[:size].reshape(SKETCH_ROWS, -1), int(total[size])
 
 
 class Weigher:
     """Weight levels of shingles, the samples drawn from them, and similarities."""
 
-    def __init__(self, sketch: np.ndarray, n: int, k: int = SHINGLE, gain: float = GAIN):
+    def __init__(self, sketch: np.ndarray, n: int, k: int = SHINGLE, full: float = FULL):
         self.k = k
-        # The logarithm of idf for every counter of the sketch.
-        share = np.log((n + 1) / (np.minimum(sketch, n) + 1)) / np.log(n + 2)
-        self.log_idf = np.log1p(gain * share).astype(np.float32)
-        self._tables: dict[int, np.ndarray] = {}
+        # Log of idf for every counter of the sketch, as its share of the largest idf; shingles
+        # of nearly all documents keep a twentieth, so that a text of nothing else has a weight.
+        share = np.maximum(np.minimum(sketch, n) / (n + PRIOR), full)
+        self.log_idf = np.log(np.maximum(np.log(share) / np.log(full), 0.05)).astype(np.float32)
+        self._tables, self._row_of = np.zeros((0, 1 << _DRAWS), np.uint32), np.full(256, -1)
 
     def __getstate__(self):
-        return {**self.__dict__, "_tables": {}}
+        return {**self.__dict__, "_tables": self._tables[:0], "_row_of": np.full(256, -1)}
 
     def weighted(self, words: wordscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, text, level) of each text's distinct shingles; the weight is e ** (level / STEPS)."""
+        """(hash, text, level) of each text's distinct shingles; the weight is
+        e ** (level / STEPS), and levels lie between 0 and 200."""
         h, t, tf = counted(*shingles(words, self.k))
         log_idf = np.max([self.log_idf[r, _slots(h, r)] for r in range(len(self.log_idf))], axis=0) if len(h) else np.zeros(0)
-        return h, t, np.rint((np.log1p(np.log(tf)) + log_idf) * STEPS).astype(np.int64)
+        return h, t, np.rint((np.log1p(np.log(tf)) + log_idf - np.log(0.05)) * STEPS).astype(np.int64)
 
-    def _table(self, level: int) -> np.ndarray:
-        """For a weight level, the sampling value ``a`` of every possible draw (as sortable bits).
+    def _rows(self, level: np.ndarray) -> np.ndarray:
+        """For each weight level, the row of ``_tables`` with the sampling value ``a`` of every
+        possible draw (as sortable bits).
 
         Improved consistent weighted sampling: r, c ~ Gamma(2, 1), b ~ U(0, 1);
         t = floor(ln S / r + b); ln a = ln c - r (t - b) - r.
         """
-        if level not in self._tables:
+        new = [x for x in np.flatnonzero(np.bincount(level, minlength=1)).tolist() if self._row_of[x] < 0]
+        if new:
             draw = np.random.default_rng(1905)
             size = 1 << _DRAWS
             r, c, b = draw.gamma(2, 1, size), draw.gamma(2, 1, size), draw.random(size)
-            t = np.floor(level / STEPS / r + b)
-            a = np.exp(np.log(c) - r * (t - b) - r)
-            self._tables[level] = a.astype(np.float32).view(np.uint32)  # positive floats sort as their bits
-        return self._tables[level]
+            found = []
+            for x in new:
+                t = np.floor(x / STEPS / r + b)
+                a = np.exp(np.log(c) - r * (t - b) - r)
+                found.append(a.astype(np.float32).view(np.uint32))  # positive floats sort as their bits
+            self._row_of[new] = len(self._tables) + np.arange(len(new))
+            self._tables = np.concatenate((self._tables, found))
+        return self._row_of[level]
 
     def bands(self, h: np.ndarray, t: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
         """A row of band hashes for each text that has shingles (others: zeros)."""
@@ -163,9 +189,8 @@ class Weigher:
         if not len(h):
             return out
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        levels, which = np.unique(level, return_inverse=True)
-        tables = np.concatenate([self._table(int(x)) for x in levels])
-        base = which.astype(np.int64) << _DRAWS
+        base = self._rows(level) << _DRAWS
+        tables = self._tables.ravel()
         low = (h & _U(0xFFFFFFFF)).astype(np.uint64)
         seeds = np.random.default_rng(31).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
         shift, up = _U(64 - _DRAWS), _U(32)
@@ -179,7 +204,8 @@ class Weigher:
             out[t[first], band] = key.view(np.int64)
         return out
 
-    def similarity(self, ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray) -> float:
+    @staticmethod
+    def similarity(ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray) -> float:
         """Weighted Jaccard similarity of two texts' sorted shingles."""
         _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
         wa, wb = np.exp(la / STEPS), np.exp(lb / STEPS)
@@ -211,30 +237,6 @@ def _features(shared, text_col: str, with_bands: bool):
     return make
 
 
-def _streamed(rows: DataFrame, pick) -> DataFrame:
-    """Links (a < b) that ``pick(batches)`` finds in rows sorted by bucket and the next band."""
-    order = ["bucket", "next", "key"]
-    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("next").mapInArrow(pick, "a binary, b binary")
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _neighbours(batches):
-    """Every member of a bucket with the one before it."""
-    last = None
-    for batch in batches:
-        bucket, keys = batch.column("bucket").to_numpy(), batch.column("key").to_pylist()
-        a, b = [], []
-        if last is not None and len(keys) and last[0] == bucket[0]:
-            a.append(last[1])
-            b.append(keys[0])
-        for i in np.flatnonzero(bucket[1:] == bucket[:-1]).tolist():
-            a.append(keys[i])
-            b.append(keys[i + 1])
-        if len(keys):
-            last = (bucket[-1], keys[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
 def _compared(threshold: float):
     """Links between classes in groups of (bucket, i, j): strangers of block i against members of
     block j, every pair that is in two classes, by exact similarity.
@@ -298,74 +300,120 @@ def _compared(threshold: float):
     return run
 
 
-def _bucket_rows(contents: DataFrame) -> DataFrame:
-    """(key, pos, bucket, next) for each band of each content."""
-    band = lambda k: F.get("_bands", (F.col("pos") + k) % BANDS)
-    return contents.select("key", F.posexplode("_bands").alias("pos", "bucket"), "_bands").select("key", "pos", "bucket", band(1).alias("next"))
+def _members(contents: DataFrame) -> DataFrame:
+    """(key, _size, pos, bucket, n, c) of the contents in buckets of two and more: members of the
+    bucket, and of all buckets of the content."""
+    rows = contents.select("key", "_size", F.posexplode("_bands").alias("pos", "bucket"))
+    # Written apart, so that a bucket with very many members is split at run time.
+    sizes = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    return checkpointed(rows.join(sizes, "bucket").select("key", "_size", "pos", "bucket", "n", F.sum("n").over(Window.partitionBy("key")).alias("c")))
 
 
-def _candidates(contents: DataFrame) -> DataFrame:
-    """Candidate links, a linear number in each bucket; of a bucket of three, all."""
-    rows = _bucket_rows(contents)
-    # Written apart, so that a bucket with very many members is split at run time.
-    ends = checkpointed(rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least <> most"))
-    members = rows.join(ends, "bucket")
-    chain = _streamed(members.select("bucket", "key", "next"), _neighbours)
-    hubs = members.select(F.explode(F.array("least", "most")).alias("a"), F.col("key").alias("b")).where("a <> b")
-    return checkpointed(chain.unionByName(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+def _first_links(members: DataFrame) -> DataFrame:
+    """(b, a): each content with the best hub of its buckets, if that isn't itself."""
+    hubs = checkpointed(members.groupBy("bucket").agg(F.max(F.struct("c", "key")).alias("hub")))
+    tried = members.join(hubs, "bucket").where("key <> hub.key").groupBy(F.col("key").alias("b")).agg(F.max("hub").alias("hub"))
+    return checkpointed(tried.select("b", F.col("hub.key").alias("a")))
+
+
+def _row_marks(keys: list[bytes | None], ids: np.ndarray) -> np.ndarray:
+    """A hash of each row's content and id hash; rows without words: 0."""
+    half = np.frombuffer(b"".join((k or bytes(8))[:8] for k in keys), np.uint64)
+    return wordscan.mixed(half ^ wordscan.mixed(ids.view(np.uint64) + _U(1)))
 
 
-def _shingled(texts: DataFrame, shared) -> DataFrame:
-    """(key, h, l): sorted shingle hashes and weight levels of each content, as bytes."""
-    bound_batches(texts.sparkSession)
+def _wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """A table of ``2 ** WANTED_BITS`` bits in which those of the marks of (key, _h) are set.
+
+    Its size is fixed: it only thins what is sent, and an exact join follows.
+    """
+    size = 1 << WANTED_BITS - 6
 
     def run(batches):
-        weigher: Weigher = shared.value
+        table = np.zeros(size, np.uint64)
         for batch in batches:
-            for lo, hi, words in wordscan.scan(batch.column(1)):
-                h, t, level = weigher.weighted(words)
-                cut = np.searchsorted(t, np.arange(hi - lo + 1)).tolist()
-                level = level.astype(np.uint8)  # at most 32 * (ln(1 + ln tf) + 0.1), below 128
-                names = batch.column(0).slice(lo, hi - lo).to_pylist()
-                right = [d for d, key in enumerate(content_keys(words, hi - lo)) if key == names[d]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[d] for d in right], pa.binary()), pa.array([h[cut[d] : cut[d + 1]].tobytes() for d in right], pa.binary()), pa.array([level[cut[d] : cut[d + 1]].tobytes() for d in right], pa.binary())], names=["key", "h", "l"]
-                )
+            at = _row_marks(batch.column(0).to_pylist(), batch.column(1).to_numpy()) >> _U(64 - WANTED_BITS)
+            np.bitwise_or.at(table, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
+        yield from _used_parts(table.view(np.int64))
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, h binary, l binary").groupBy("key").agg(F.first("h").alias("h"), F.first("l").alias("l"))
+    return _merged_parts(wanted.select("key", "_h").mapInArrow(run, "part int, counts binary"), size, np.bitwise_or).view(np.uint64)
 
 
-def _remaining(contents: DataFrame, classes: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
-    """Links between roots: of all pairs that share a bucket of more than three and are in two
-    classes, those whose similarity reaches the threshold.
+def _shingled(docs: DataFrame, wanted: DataFrame, weigher) -> DataFrame:
+    """(key, h, l): sorted shingle hashes and weight levels, as bytes, of the contents of
+    ``wanted`` (key, _h), each read from the row of its least id."""
+    context = docs.sparkSession.sparkContext
+    bits = context.broadcast(_wanted_bits(wanted))
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        own, table = weigher.value, bits.value
+        for batch in batches:
+            hashed = batch.column(1).to_numpy()
+            for lo, hi, words in wordscan.scan(batch.column(0)):
+                keys = content_keys(words, hi - lo)
+                at = _row_marks(keys, hashed[lo:hi]) >> _U(64 - WANTED_BITS)
+                here = [d for d in np.flatnonzero(table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).tolist() if keys[d] is not None]
+                if here:
+                    texts = batch.column(0).slice(lo, hi - lo).take(pa.array(here))
+                    h, t, level = own.weighted(wordscan.Words(*wordscan.text_buffers(texts)))
+                    cut = np.searchsorted(t, np.arange(len(here) + 1)).tolist()
+                    level = level.astype(np.uint8)
+                    part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in here], pa.binary()), pa.array(hashed[lo:hi][here]), part(h), part(level)], names=["key", "_h", "h", "l"])
+
+    sent = docs.select("_text", F.xxhash64("_id").alias("_h")).mapInArrow(run, "key binary, _h long, h binary, l binary")
+    found = sent.join(wanted, ["key", "_h"], "left_semi").dropDuplicates(["key", "_h"]).select("key", "h", "l")
+    out = checkpointed(found)
+    released(bits)
+    return out
+
+
+def _verified(links: DataFrame, shingled: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) whose weighted Jaccard similarity reaches the threshold."""
+    side = lambda x: shingled.select(F.col("key").alias(x), F.col("h").alias(f"h{x}"), F.col("l").alias(f"l{x}"))
+    paired = links.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "la", "hb", "lb")
+
+    def check(batches):
+        for batch in batches:
+            keep = []
+            for ha, la, hb, lb in zip(*(batch.column(i) for i in range(2, 6))):
+                read = lambda h, l: (np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(l.as_buffer(), np.uint8))  # noqa: E731, E741
+                keep.append(Weigher.similarity(*read(ha, la), *read(hb, lb)) >= threshold - 1e-12)
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    return paired.mapInArrow(check, "a binary, b binary")
+
+
+def _remaining(members: DataFrame, first: DataFrame, classes: DataFrame, shingled: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
+    """Links between roots: of all pairs that share a bucket and are in two classes, those whose
+    similarity reaches the threshold.
 
     Every such pair has a *stranger*, one that isn't of the bucket's most frequent class.  The
     strangers and all members of a bucket are dealt into blocks of bounded size by a hash of their
     key, and each pair of blocks is a group of its own, so that a large bucket is spread over
-    tasks and one with few strangers costs members times strangers.
+    tasks and one with few strangers costs members times strangers.  A bucket of two whose pair
+    was tried already is left out.
     """
-    rows = contents.join(classes, "key").select("key", "root", "_size", F.posexplode("_bands").alias("pos", "bucket"))
-    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("_size").alias("w"))
-    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("n > 3 and n > top.n")
+    rows = members.join(classes, "key").join(first.withColumnRenamed("b", "key"), "key", "left").select("key", "root", "_size", "pos", "bucket", "a")
+    pair = F.struct("key", "a")
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("_size").alias("w"), F.min(pair).alias("x"), F.max(pair).alias("y"))
+    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("x").alias("x"), F.max("y").alias("y")).where("n > top.n")
+    tried = F.coalesce(F.col("x.a") == F.col("y.key"), F.lit(False)) | F.coalesce(F.col("y.a") == F.col("x.key"), F.lit(False))
     blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK_MEMBERS), w / F.lit(BLOCK_SHINGLES))).cast("int")
     # Written apart, so that a bucket with very many members is split at run time.
-    mixed = checkpointed(top.select("bucket", F.col("top.root").alias("main"), blocks(F.col("n"), F.col("w")).alias("nb"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("sb")))
+    mixed = checkpointed(top.where((F.col("n") > 2) | ~tried).select("bucket", F.col("top.root").alias("main"), blocks(F.col("n"), F.col("w")).alias("nb"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("sb")))
     own = F.xxhash64("key", "bucket")
     placed = rows.join(mixed, "bucket").select("bucket", "pos", "key", "root", "nb", "sb", F.pmod(own, "nb").cast("int").alias("o"), F.when(F.col("root") == F.col("main"), -1).otherwise(F.pmod(own, "sb")).cast("int").alias("s"))
     group = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     as_member = F.transform(F.sequence(F.lit(0), F.col("sb") - 1), lambda i: group(i, F.col("o")))
     as_stranger = F.when(F.col("s") >= 0, F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: group(F.col("s"), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    dealt = checkpointed(placed.select("bucket", "pos", "key", "root", "o", "s", F.explode(F.array_union(as_member, as_stranger)).alias("x")).select("bucket", "pos", "key", "root", "o", "s", "x.*"))
-    shingled = checkpointed(_shingled(texts.join(dealt.select("key").distinct(), "key", "left_semi"), shared).join(contents.select("key", "_bands"), "key"))
+    dealt = placed.select("bucket", "pos", "key", "root", "o", "s", F.explode(F.array_union(as_member, as_stranger)).alias("x")).select("bucket", "pos", "key", "root", "o", "s", "x.*")
     by = ["bucket", "i", "j"]
-    found = dealt.join(shingled, "key").repartition(*by).sortWithinPartitions(*by).mapInArrow(_compared(threshold), "a binary, b binary")
-    return checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-
-def _united(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Classes (key, root) after links between them: components of their roots."""
-    ends = links.join(classes.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
-    return _merged(classes, ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    described = shingled.join(contents.select("key", "_bands"), "key")
+    found = dealt.join(described, "key").repartition(*by).sortWithinPartitions(*by).mapInArrow(_compared(threshold), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _merged(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -374,64 +422,21 @@ def _merged(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return checkpointed(classes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root")))
 
 
-def _between(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links whose ends are in different classes."""
-    sided = links.join(classes.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
-    return sided.where("ra <> rb").select("a", "b")
-
-
-def _verified(links: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
-    """The links whose texts' similarity reaches the threshold.
-
-    ``texts`` (key, text) may hold texts of another key under repeated ids; those are told by
-    their digest and left out.
-    """
-    bound_batches(links.sparkSession)
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    paired = links.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-
-    def check(batches):
-        weigher: Weigher = shared.value
-
-        def sets(column):
-            for lo, hi, words in wordscan.scan(column):
-                h, t, level = weigher.weighted(words)
-                cut = np.searchsorted(t, np.arange(hi - lo + 1))
-                for d, key in enumerate(content_keys(words, hi - lo)):
-                    yield key, h[cut[d] : cut[d + 1]], level[cut[d] : cut[d + 1]]
-
-        for batch in batches:
-            keep = []
-            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for (a, b), (ka, ha, la), (kb, hb, lb) in zip(names, sets(batch.column(2)), sets(batch.column(3))):
-                keep.append(a == ka and b == kb and weigher.similarity(ha, la, hb, lb) >= threshold - 1e-12)
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["a", "b"])
-
-    return paired.mapInArrow(check, "a binary, b binary").distinct()
-
-
 def _classes(docs: DataFrame, text_col: str, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(``_id, _key`` of every row; ``_key, class_id, _first, _least`` of every content)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sketch, n = frequency_sketch(docs, "_text")
-    shared = spark.sparkContext.broadcast(Weigher(sketch, n))
-    rows = checkpointed(map_batches(docs, [("_key", T.BinaryType()), ("_size", T.LongType()), ("_bands", T.ArrayType(T.LongType(), False))], _features(shared, "_text", True), keep=["_id"]))
+    weigher = context.broadcast(Weigher(*frequency_sketch(docs, "_text")))
+    rows = checkpointed(map_batches(docs, [("_key", T.BinaryType()), ("_size", T.LongType()), ("_bands", T.ArrayType(T.LongType(), False))], _features(weigher, "_text", True), keep=["_id"]))
     contents = checkpointed(rows.where("_key is not null").groupBy(F.col("_key").alias("key")).agg(F.min("_id").alias("_least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")))
-    links = _candidates(contents.select("key", "_bands"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = contents.select("key", "_least").join(ends, "key", "left_semi")
-    texts = checkpointed(docs.join(wanted, F.col("_id").eqNullSafe(F.col("_least"))).select("key", F.col("_text").alias("text")))
-    classes = contents.select("key", F.col("key").alias("root"))
-    # One link for each content first; then what is left between the classes so far; then every
-    # pair of large buckets that is in two classes.
-    first = checkpointed(links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    classes = _united(classes, _verified(first, texts, shared, threshold))
-    classes = _united(classes, _verified(_between(links.join(first, ["a", "b"], "left_anti"), classes), texts, shared, threshold))
-    classes = _merged(classes, _remaining(contents, classes, texts, shared, threshold))
-    rooted = contents.select(F.col("key").alias("_key"), "_least").join(classes.withColumnRenamed("key", "_key"), "_key")
+    members = _members(contents)
+    shared = checkpointed(members.select("key").distinct())
+    shingled = _shingled(docs, contents.join(shared, "key", "left_semi").select("key", F.xxhash64("_least").alias("_h")), weigher)
+    released(weigher)
+    first = _first_links(members)
+    classes = _merged(shared.select("key", F.col("key").alias("root")), _verified(first, shingled, threshold))
+    classes = _merged(classes, _remaining(members, first, classes, shingled, contents, threshold))
+    rooted = contents.select("key", "_least").join(classes, "key", "left").select(F.col("key").alias("_key"), "_least", F.coalesce("root", "key").alias("root"))
     best = checkpointed(rooted.groupBy("root").agg(F.min("_least").alias("class_id"), F.min(F.struct(F.col("_least").isNull().alias("none"), "_least", "_key"))["_key"].alias("_best")))
     named = rooted.join(best, "root").select("_key", "class_id", (F.col("_key") == F.col("_best")).alias("_first"), "_least")
     # Both written apart, so that joins with a class of very many contents, or with very many
@@ -455,14 +460,20 @@ def near_classes(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
 
 
 def drop_near_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
-    """One row of each class stays, that of the least id; columns as they came."""
+    """One row of each class stays, that of the least id, and every row without words; columns as
+    they came.
+
+    Whole rows are shuffled once: those to stay are chosen on ids and digests alone.
+    """
     names = docs.columns
-    rows, named = _classes(docs, text_col, id_col, threshold)
-    first = named.where("_first").select(F.col("_least").alias("_stay_id"), F.col("_key").alias("_stay_key"))
-    stay = first.unionByName(rows.where("_key is null").select(F.col("_id").alias("_stay_id"), F.col("_key").alias("_stay_key")))
-    own = set_aside(docs, ["_key", "_stay_id", "_stay_key"])
+    _, named = _classes(docs, text_col, id_col, threshold)
+    stay = named.where("_first").select(F.xxhash64("_least", F.lit(0).cast("long")).alias("_stay_hash"), F.col("_key").alias("_stay_key"))
+    own = set_aside(docs, ["_key", "_hash", "_alone", "_stay_hash", "_stay_key"])
     keyed = map_batches(own, [("_key", T.BinaryType())], _features(None, own.columns[names.index(text_col)], False))
+    # Rows without words meet no partner, and are told apart by a number of their own.
+    alone = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())
     the_id = F.col(own.columns[names.index(id_col)])
-    kept = keyed.join(stay, the_id.eqNullSafe(F.col("_stay_id")) & F.col("_key").eqNullSafe(F.col("_stay_key")), "left_semi")
-    once = kept.dropDuplicates([own.columns[names.index(id_col)], "_key"])
+    keyed = keyed.withColumn("_alone", alone).withColumn("_hash", F.xxhash64(the_id, F.coalesce("_alone", F.lit(0).cast("long"))))
+    met = keyed.join(stay, (F.col("_hash") == F.col("_stay_hash")) & (F.col("_key") == F.col("_stay_key")), "left").where("_stay_key is not null or _key is null")
+    once = met.dropDuplicates(["_hash", "_key", "_alone"])
     return once.select(*own.columns).toDF(*names)
