@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import wordscan
+from . import parts, wordscan
 from .components import connected_components
 from .frames import bound_batches, checkpointed, map_batches, released, set_aside
 
@@ -51,7 +51,6 @@ PRIOR = 20_000  # documents without it that a shingle's share also counts
 STEPS = 32  # weight levels to a factor of e
 WANTED_BITS = 22  # of the table that tells which rows' shingles are worth sending
 _DRAWS = 16  # bits of the table of random draws
-_PART = 4096
 _U = np.uint64
 
 
@@ -89,45 +88,13 @@ def _slots(h: np.ndarray, row: int) -> np.ndarray:
     return (h * _U(0xC2B2AE3D27D4EB4F + 2 * row * 0x165667B19E3779F9 & (1 << 64) - 1) >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _merged_parts(parts: DataFrame, size: int, merge: np.ufunc) -> np.ndarray:
-    """An array of ``size`` longs from rows (part, values) of ``_PART`` of them; rows of one part
-    are merged in streams, and what reaches the driver is the array."""
-    schema = "part int, counts binary"
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer(raw, np.int64)
-                sums[part] = merge(sums[part], x) if part in sums else x
-        if sums:
-            yield _part_rows(sums)
-
-    out = np.zeros((-(-size // _PART), _PART), np.int64)
-    for r in parts.repartition("part").mapInArrow(run, schema).toLocalIterator():
-        out[r["part"]] = merge(out[r["part"]], np.frombuffer(bytes(r["counts"]), np.int64))
-    return out.ravel()[:size]
-
-
-def _part_rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "counts"])
-
-
-def _used_parts(table: np.ndarray):
-    """The parts of a task's table that aren't zero, a few at a time."""
-    rows = table.reshape(-1, _PART)
-    used = np.flatnonzero(rows.any(1))
-    for lo in range(0, len(used), 32):
-        yield _part_rows({int(p): rows[p] for p in used[lo : lo + 32]})
-
-
 def frequency_sketch(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple[np.ndarray, int]:
     """(count-min sketch of document frequencies, documents), over all rows."""
     bound_batches(docs.sparkSession)
     size = SKETCH_ROWS << SKETCH_BITS
 
     def count(batches):
-        total = np.zeros(size + _PART, np.int64)  # the last part: documents
+        total = np.zeros(parts.padded(size + 1), np.int64)  # the last part: documents
         for batch in batches:
             for lo, hi, words in wordscan.scan(batch.column(0)):
                 h, _, _ = counted(*shingles(words, k))
@@ -135,9 +102,9 @@ def frequency_sketch(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple[
                     slots, c = np.unique(_slots(h, r), return_counts=True)
                     total[slots + (r << SKETCH_BITS)] += c
                 total[size] += hi - lo
-        yield from _used_parts(total)
+        yield from parts.emitted(total)
 
-    total = _merged_parts(docs.select(text_col).mapInArrow(count, "part int, counts binary"), size + 1, np.add)
+    total = parts.merged(docs.select(text_col).mapInArrow(count, parts.SCHEMA), size + 1)
     return total[:size].reshape(SKETCH_ROWS, -1), int(total[size])
 
 
@@ -334,9 +301,9 @@ def _wanted_bits(wanted: DataFrame) -> np.ndarray:
         for batch in batches:
             at = _row_marks(batch.column(0).to_pylist(), batch.column(1).to_numpy()) >> _U(64 - WANTED_BITS)
             np.bitwise_or.at(table, (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
-        yield from _used_parts(table.view(np.int64))
+        yield from parts.emitted(table.view(np.int64))
 
-    return _merged_parts(wanted.select("key", "_h").mapInArrow(run, "part int, counts binary"), size, np.bitwise_or).view(np.uint64)
+    return parts.merged(wanted.select("key", "_h").mapInArrow(run, parts.SCHEMA), size, np.bitwise_or).view(np.uint64)
 
 
 def _shingled(docs: DataFrame, wanted: DataFrame, weigher) -> DataFrame:
