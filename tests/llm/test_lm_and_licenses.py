@@ -12,97 +12,91 @@ from .helpers import ODD, docs, empty, words
 
 
 def test_word_counts(spark):
-    texts = ["a b a", "B c", None, ""]
-    h = wordscan.Words(*wordscan.text_buffers(pa.array(["a b c"]))).hashes.view(np.int64).tolist()
-    assert {r["hash"]: r["n"] for r in L.word_counts(docs(spark, texts)).collect()} == dict(zip(h, (2, 2, 1)))
+    texts = ["a b a", "B cat", None, "", "Hat"]
+    h = wordscan.Words(*wordscan.text_buffers(pa.array(["a b cat hat"]))).hashes.view(np.int64).tolist()
+    got = {r["hash"]: (r["ending"], r["n"]) for r in L.word_counts(docs(spark, texts)).collect()}
+    code = lambda s: ord(s[-1]) << 8 | (ord(s[-2]) if len(s) > 1 else 0)
+    assert got == dict(zip(h, [(code("a"), 2), (code("b"), 2), (code("cat"), 1), (code("hat"), 1)]))
+
+
+def babble(draw, n):
+    """Texts in two languages that share no word and no ending."""
+    speech = [[f"w{i}{a}{b}" for i in range(150) for a, b in (e, e[::-1])] for e in ("or", "un")]
+    return [" ".join(draw.choice(["the", "of"]) if draw.random() < 0.2 else draw.choice(own) for _ in range(draw.randint(5, 80))) for own in (draw.choice(speech) for _ in range(n))]
+
+
+def scanned(text):
+    return wordscan.Words(*wordscan.text_buffers(pa.array([text or ""])))
 
 
 def test_scores_against_a_plain_walk(spark):
-    draw = random.Random(2)
-    texts = [" ".join(draw.choice(["the", "of", f"r{draw.randint(0, 300)}"]) for _ in range(draw.randint(0, 60))) for _ in range(60)] + ODD
+    texts = babble(random.Random(2), 60) + ODD
     frame = docs(spark, texts, extra=["log_prob"])
     lexicon = L.gather_lexicon(frame)
     network = L.train_network(frame, lexicon)
     rows = L.score_lm(frame, lexicon, network).collect()
     for r in rows:
-        w = wordscan.Words(*wordscan.text_buffers(pa.array([r["text"] or ""])))
-        classes, within = lexicon.classes(w.hashes)
+        classes, within = lexicon.classes(scanned(r["text"]))
         assert r["n_words"] == len(words(r["text"])) == len(classes)
         if len(classes) > 2000:
             continue
         total = 0.0
         for i, c in enumerate(classes):
-            x = network.hidden.astype(float).copy()
-            for k, s in enumerate(L.SIDES):
-                x += network.embed[k][classes[i + s] if 0 <= i + s < len(classes) else lexicon.size]
-            z = np.tanh(x) @ network.out + network.bias
+            left, right = (classes[j] if 0 <= j < len(classes) else lexicon.size for j in (i - 1, i + 1))
+            z = np.tanh(network.left[left].astype(float) + network.right[right] + network.hidden) @ network.out + network.bias
             total += z[c] - math.log(np.exp(z - z.max()).sum()) - z.max() + within[i]
         assert abs(total - r["log_prob"]) < 1e-3 * max(1, abs(total))
-        assert (r["perplexity"] is None) == (len(classes) == 0)
+        if len(classes):
+            assert abs(r["score"] * len(classes) - r["log_prob"]) < 1e-6 and abs(r["perplexity"] / math.exp(-r["score"]) - 1) < 1e-9
+        else:
+            assert r["score"] is None and r["perplexity"] is None and r["log_prob"] == 0
     assert "log_prob_in" in rows[0].__fields__
     assert L.lm_scores(empty(spark)).count() == 0
 
 
-def test_training_learns_from_both_sides():
-    texts = ["a b c d"] * 40
-    lexicon = L.Lexicon([(int(h), 1) for h in wordscan.Words(*wordscan.text_buffers(pa.array(["a b c d"]))).hashes.view(np.int64)], [])
-    network = L.WindowNetwork(lexicon.size)
-    w = wordscan.Words(*wordscan.text_buffers(pa.array(texts)))
-    classes, _, padded, place = L._windows(w, lexicon)
-    sides = [padded[place + s] for s in L.SIDES]
-    before, sums = network.log_probabilities(sides, classes).mean(), [np.zeros_like(p) for p in network.parts]
-    for _ in range(150):
-        network.train(sides, classes, sums)
-    assert before < -3 and network.log_probabilities(sides, classes).mean() > -0.3
-
-
-def test_every_word_is_a_target_once(spark, monkeypatch):
-    seen = []
-
-    class Spy(L.WindowNetwork):
-        def train(self, sides, target, sums):
-            seen.append(target.copy())
-
-    texts = ["a b c d e f g h i", "j", "k l m n o p q r s t u v w x y z " * 3]
-    w = wordscan.Words(*wordscan.text_buffers(pa.array(texts)))
-    lexicon = L.Lexicon([(int(h), 1) for h in np.unique(w.hashes).view(np.int64)], [])
-
-    class Frame:
-        """Runs the training function here, on one batch."""
-
-        sparkSession = spark
-
-        def select(self, *_):
-            return self
-
-        def mapInArrow(self, f, schema):
-            if not hasattr(self, "done"):
-                self.done = True
-                list(f([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
-            return self
-
-        def repartition(self, *_):
-            return self
-
-        def toLocalIterator(self):
-            del self.done
-            return iter(())
-
-    class Context:
-        @staticmethod
-        def get():
-            return Context
-
-        @staticmethod
-        def partitionId():
-            return 0
-
-    monkeypatch.setattr(L, "WindowNetwork", Spy)
-    monkeypatch.setattr("pyspark.TaskContext", Context)
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: type("Shared", (), {"value": x}))
-    L.train_network(Frame(), lexicon)
-    classes, _ = lexicon.classes(w.hashes)
-    assert np.bincount(np.concatenate(seen), minlength=lexicon.size).tolist() == np.bincount(classes, minlength=lexicon.size).tolist()
+def test_every_window_is_counted_whatever_the_partitions(spark):
+    texts = babble(random.Random(3), 200) + [None, "", "one"]
+    frame = docs(spark, texts)
+    lexicon = L.gather_lexicon(frame)
+    want = np.zeros(((lexicon.size + 1) ** 2, lexicon.size), int)
+    for text in texts:
+        x = [lexicon.size, *lexicon.classes(scanned(text))[0].tolist(), lexicon.size]
+        for left, here, right in zip(x, x[1:], x[2:]):
+            want[left * (lexicon.size + 1) + right, here] += 1
+    shared = spark.sparkContext.broadcast(lexicon)
+    assert (L.window_counts(frame, shared, lexicon.size) == want).all()
+    answers = [sorted((r["doc_id"] or -1, r["score"] or 0, r["log_prob"]) for r in L.lm_scores(frame.repartition(n)).collect()) for n in (1, 4, 16)]
+    assert answers[0] == answers[1] == answers[2]
+
+
+def test_words_of_a_class_share_its_probability(spark):
+    frame = docs(spark, babble(random.Random(4), 200))
+    counts = {r["hash"]: r["n"] for r in L.word_counts(frame).collect()}
+    vocabulary = scanned(" ".join(sorted({w for r in frame.collect() for w in words(r["text"])})))
+    for bound in (1 << 20, 200, 20):
+        lexicon = L.gather_lexicon(frame, own_words=bound)
+        assert len(lexicon.hashes) <= bound
+        classes, within = lexicon.classes(vocabulary)
+        mass = np.bincount(classes, np.exp(within.astype(float)), lexicon.size)
+        assert np.allclose(mass[np.unique(classes)], 1, atol=1e-4)
+        own = np.isin(vocabulary.hashes, lexicon.hashes)
+        n = np.array([counts[h] for h in vocabulary.hashes.view(np.int64).tolist()])
+        assert np.allclose(np.exp(within[own]), (n / lexicon.totals[classes])[own], rtol=1e-4)
+        assert not own.any() or own.all() or n[own].min() > n[~own].max()
+
+
+def test_held_out_texts_are_likelier_than_by_frequency_alone(spark):
+    texts = babble(random.Random(5), 600)
+    seen, held = docs(spark, texts[:400]), docs(spark, texts[400:])
+    lexicon = L.gather_lexicon(seen)
+    network = L.train_network(seen, lexicon)
+    rows = L.score_lm(held, lexicon, network).collect()
+    n = sum(r["n_words"] for r in rows)
+    alone = 0.0
+    for text in texts[400:]:
+        x, within = lexicon.classes(scanned(text))
+        alone += float((np.log(np.maximum(lexicon.totals, 0.5) / lexicon.totals.sum())[x] + within).sum())
+    assert sum(r["log_prob"] for r in rows) / n > alone / n + 0.4  # of ln 2 at most, for four words in five
 
 
 def matches(texts, templates, least=0.8):

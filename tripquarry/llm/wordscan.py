@@ -21,13 +21,13 @@ _BASE = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _GRAM = _U(0xD6E8FEB86659FD93)
 
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
-LOWER = _lower.tobytes()
+LOWER_BYTES = np.arange(256, dtype=np.uint8)
+LOWER_BYTES[65:91] += 32
+LOWER = LOWER_BYTES.tobytes()
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = True
 IS_WORD[128:] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)[_lower]
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER_BYTES]
 _powers: dict[str, np.ndarray] = {}
 
 
