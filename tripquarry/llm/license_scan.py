@@ -1,20 +1,31 @@
 """Operator 9: license scans.
 
-Templates are word sequences.  Their winnowed fingerprints (of each window of consecutive k-word
-hashes the least is kept) form an inverted index, a fixed small table that is broadcast.  The
-k-word hashes of a text that meet the index give (template, diagonal) candidates.  A template of up
-to ``SHORT`` words is looked for by single words instead: if ``need`` of its m words must match, any
-m - need + 1 of its places hold a match, so those (of the longest words) are indexed, and a hit counts
-where ``need`` of the template's words stand around it.  Around each candidate, a
-banded alignment of the words reports how many template words are matched and where.
+Templates are word sequences: identifiers, statements, notices and whole licenses.  Candidates are
+(template, diagonal) pairs, found in three ways that one index holds:
+
+* a *strict* template (an identifier, statement or notice) by one of its telling words, such as
+  the license's name, all of which a match must have;
+* another template of up to ``SHORT`` words by single words: if ``need`` of its m words must match, any
+  m - need + 1 of its places hold a match, so those (of the longest words) are indexed;
+* longer templates by winnowed fingerprints (of each window of consecutive k-word hashes the least
+  is kept).
+
+A candidate whose words, as a bag, can't reach the coverage is dropped; a banded alignment of the
+words of each other one reports how many template words are matched and where.  Coverage is
+matched words / the larger of the template's words and the words between the first and last
+match, so that words left out and words put in both count against it.  A strict template's match
+must have, between its ends, exactly the template's telling words (names, kinds such as "lesser"
+or "nc", versions), and an identifier or version must end where the template's does.  Of
+overlapping matches that with the most matched words times coverage stays.
 
 Defined results: null and empty texts have no matches; templates of fewer than k words are one
-fingerprint of all their words; overlapping matches of one template keep the one of best coverage,
-the earlier on ties; an empty template list finds nothing; repeated rows are scanned alike.
+fingerprint of all their words; ties go to the earlier match, then the lesser license; an empty
+template list finds nothing; repeated rows are scanned alike.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -24,24 +35,20 @@ from pyspark.sql import types as T
 
 from . import wordscan
 from .frames import map_batches, set_aside
+from .license_texts import ANCHORS, TELLING, Template, default_templates
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 6, 0.8
 SHORT = 16  # words of templates that are looked for by single words
 
-# Common public license statements and notices.
-TEMPLATES = {
-    "mit-statement": "Released under the MIT License",
-    "apache-2.0-statement": "Licensed under the Apache License, Version 2.0",
-    "gpl-3.0-statement": "This work is licensed under the GNU General Public License, version 3",
-    "cc-by-nc-4.0-statement": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0-statement": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+_ANCHORS = {w.encode() for w in ANCHORS}
+_TELLING = _ANCHORS | {w.encode() for w in TELLING}
+_NUMBER = re.compile(rb"v?[0-9]+")
+
+
+def telling(words: wordscan.Words, a: int, b: int) -> Counter:
+    """The words from a to b that tell licenses apart."""
+    found = (words.word(i) for i in range(a, b))
+    return Counter(w for w in found if w in _TELLING or _NUMBER.fullmatch(w))
 
 
 def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -53,68 +60,54 @@ def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class TemplateIndex:
-    def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINDOW):
-        self.k, self.names = k, sorted(templates)
-        self.words, self.lengths = [], []
-        prints, where = [], []
-        for i, name in enumerate(self.names):
-            words = wordscan.Words(*wordscan.text_buffers(pa.array([templates[name]], pa.string())))
-            self.words.append(words.hashes)
-            self.lengths.append(words.ends - words.starts)
-            if not len(words.starts):
-                continue
-            grams, at = words.grams(min(k, len(words.starts)))
-            for p in winnowed(grams, window):
-                prints.append(grams[p])
-                where.append((i, int(at[p])))
-        order = np.argsort(np.array(prints, np.uint64), kind="stable") if prints else np.zeros(0, np.int64)
-        self.prints = np.array(prints, np.uint64)[order]
-        self.where = np.array(where, np.int64).reshape(-1, 2)[order]
-        self.sizes = sorted({min(k, len(w)) for w in self.words if len(w)})
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(self.prints >> np.uint64(48)).astype(np.int64)] = True
-
-    def anchors(self, least: float) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """(sorted word hashes, the (template, place, need) of each) of short templates."""
-        found = []
-        for i, w in enumerate(self.words):
-            m = len(w)
-            if 0 < m <= SHORT:
-                need = max(1, next((n for n in range(m) if n >= least * m), m))
-                places = np.argsort(-self.lengths[i].astype(np.int64), kind="stable")[: m - need + 1]
-                found += [(int(w[p]), i, int(p), need) for p in places]
-        found.sort()
-        return np.array([x[0] for x in found], np.uint64), [x[1:] for x in found]
-
-    def _short(self, words: wordscan.Words, least: float):
-        hashes, where = self.anchors(least)
-        texts = words.texts
-        at = np.flatnonzero(np.isin(words.hashes, hashes))
-        left, right = np.searchsorted(hashes, words.hashes[at]), np.searchsorted(hashes, words.hashes[at], "right")
-        bags = {t: Counter(self.words[t].tolist()) for t, _, _ in where}
-        for p, lo, hi in zip(at.tolist(), left.tolist(), right.tolist()):
-            text = int(texts[p])
-            for template, place, need in where[lo:hi]:
-                start = p - place
-                start -= start % (BAND // 2)
-                a, b = max(int(words.of_text[text]), start - BAND), min(int(words.of_text[text + 1]), start + len(self.words[template]) + 2 * BAND)
-                if (bags[template] & Counter(words.hashes[a:b].tolist())).total() >= need:
-                    yield text, template, start
-
-    def candidates(self, words: wordscan.Words, least: float = COVERAGE):
-        """Distinct (template, first word that the template's start would be at, rounded to the
-        band, text)."""
-        found = set(self._short(words, least))
-        texts = words.texts
-        for k in self.sizes:
-            grams, at = words.grams(k)
-            maybe = np.flatnonzero(self.bits[(grams >> np.uint64(48)).astype(np.int64)])
-            left = np.searchsorted(self.prints, grams[maybe])
-            right = np.searchsorted(self.prints, grams[maybe], "right")
-            for m, lo, hi in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-                for template, place in self.where[lo:hi].tolist():
-                    start = int(at[m]) - place
-                    found.add((int(texts[at[m]]), template, start - start % (BAND // 2)))
+    def __init__(self, templates: dict[str, str] | list[Template], k: int = GRAM, window: int = WINDOW, least: float = COVERAGE):
+        if isinstance(templates, dict):
+            templates = [Template(name, "text", text, False) for name, text in sorted(templates.items())]
+        self.k, self.least, self.templates = k, least, templates
+        self.words, self.bags, self.need, self.telling, self.band = [], [], [], [], []
+        prints, single = [], []
+        for i, template in enumerate(templates):
+            words = wordscan.Words(*wordscan.text_buffers(pa.array([template.text], pa.string())))
+            h, m = words.hashes, len(words.starts)
+            self.words.append(h)
+            self.bags.append(Counter(h.tolist()))
+            self.need.append(max(1, int(np.ceil(least * m - 1e-9))))
+            self.telling.append(telling(words, 0, m) if template.strict else None)
+            self.band.append(max(BAND, m // 16))
+            anchors = [p for p in range(m) if words.word(p) in _ANCHORS] if template.strict else []
+            if anchors:
+                p = max(anchors, key=lambda p: (words.word(p) == b"spdx", words.ends[p] - words.starts[p]))
+                single.append((int(h[p]), i, p))
+            elif m <= SHORT:
+                places = np.argsort(words.starts - words.ends, kind="stable")[: m - self.need[i] + 1]
+                single += [(int(h[p]), i, int(p)) for p in places]
+            else:
+                grams, at = words.grams(min(k, m))
+                prints += [(int(grams[p]), i, int(at[p])) for p in winnowed(grams, window)]
+        self.single, self.prints = self._sorted(single), self._sorted(prints)
+
+    @staticmethod
+    def _sorted(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+        """(sorted hashes, the (template, place) of each, a bit table of their high bits)."""
+        rows = sorted(rows)
+        hashes = np.array([r[0] for r in rows], np.uint64)
+        bits = np.zeros(1 << 16, bool)
+        bits[(hashes >> np.uint64(48)).astype(np.int64)] = True
+        return hashes, [r[1:] for r in rows], bits
+
+    def candidates(self, words: wordscan.Words):
+        """Distinct (text, template, first word that the template's start would be at, rounded to
+        half the band)."""
+        found, texts = set(), words.texts
+        grams, at = words.grams(self.k)
+        for (hashes, where, bits), h, places in ((self.single, words.hashes, np.arange(len(words.starts))), (self.prints, grams, at)):
+            maybe = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
+            left, right = np.searchsorted(hashes, h[maybe]), np.searchsorted(hashes, h[maybe], "right")
+            hit = right > left
+            for p, lo, hi in zip(places[maybe[hit]].tolist(), left[hit].tolist(), right[hit].tolist()):
+                for template, place in where[lo:hi]:
+                    start = p - place
+                    found.add((int(texts[p]), template, start - start % (self.band[template] // 2)))
         return sorted(found)
 
 
@@ -148,38 +141,54 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return int(matched[best]), int(first[best]), int(end[best])
 
 
-_MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("matched", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_ARROW = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+_FIELDS = [("license", pa.string()), ("kind", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
+_ARROW = pa.list_(pa.struct(_FIELDS))
+_MATCH = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if t == pa.string() else T.DoubleType() if t == pa.float64() else T.LongType()) for n, t in _FIELDS]))
+
+
+def _goes_on(words: wordscan.Words, i: int, end: int) -> bool:
+    """An identifier or version ends with word i, but is continued by the next word."""
+    if i + 1 >= end or words.starts[i + 1] != words.ends[i] + 1:
+        return False
+    joint, word = words.data[words.ends[i]], words.word(i + 1)
+    return joint in b".-" and not (joint == 46 and word == b"0") and (word in _TELLING or _NUMBER.fullmatch(word) is not None)
 
 
-def _matches(index: TemplateIndex, words: wordscan.Words, n: int, least: float) -> list[list[dict]]:
+def _matches(index: TemplateIndex, words: wordscan.Words, n: int) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(n)]
-    seen: dict[tuple[int, int], set] = {}
-    for text, template, start in index.candidates(words, least):
+    found: dict[int, set] = {}
+    for text, i, start in index.candidates(words):
         lo, hi = int(words.of_text[text]), int(words.of_text[text + 1])
-        pattern = index.words[template]
-        a = max(lo, start - BAND)
-        b = min(hi, start + len(pattern) + 2 * BAND)
-        matched, first, end = align(pattern, words.hashes[a:b], start - a + BAND // 4)
-        if matched and matched >= least * len(pattern):
-            seen.setdefault((text, template), set()).add((matched / len(pattern), matched, a + first, a + end))
-    for (text, template), found in seen.items():
+        pattern, band = index.words[i], index.band[i]
+        a, b = max(lo, start - band), min(hi, start + len(pattern) + 2 * band)
+        here = words.hashes[a:b]
+        if (index.bags[i] & Counter(here.tolist())).total() < index.need[i]:
+            continue
+        matched, first, end = align(pattern, here, start - a + band // 4, band)
+        coverage = matched / max(len(pattern), end - first)
+        if not matched or coverage < index.least - 1e-9:
+            continue
+        first, end = a + first, a + end
+        if index.telling[i] is not None and (telling(words, first, end) != index.telling[i] or _goes_on(words, end - 1, hi)):
+            continue
+        template = index.templates[i]
+        found.setdefault(text, set()).add((-matched * coverage, first, template.license, template.kind, end, matched, coverage))
+    for text, each in found.items():
         kept: list[tuple] = []
-        for m in sorted(found, key=lambda m: (-m[0], m[3] - m[2], m[2])):
-            if all(m[3] <= k[2] or m[2] >= k[3] for k in kept):
+        for m in sorted(each):
+            if all(m[4] <= k[1] or m[1] >= k[4] for k in kept):
                 kept.append(m)
         data = words.data[words.offsets[text] : words.offsets[text + 1]]
-        spans = wordscan.char_offsets(data, np.array([[words.starts[m[2]], words.ends[m[3] - 1]] for m in kept]) - words.offsets[text])
-        out[text] += [{"license": index.names[template], "coverage": m[0], "matched": m[1], "start": int(s), "end": int(e)} for m, (s, e) in zip(kept, spans)]
-    for rows in out:
-        rows.sort(key=lambda r: (r["start"], r["end"], r["license"]))
+        spans = wordscan.char_offsets(data, np.array([[words.starts[m[1]], words.ends[m[4] - 1]] for m in kept]) - words.offsets[text])
+        out[text] = [{"license": m[2], "kind": m[3], "coverage": m[6], "matched": m[5], "start": int(s), "end": int(e)} for m, (s, e) in zip(kept, spans)]
+        out[text].sort(key=lambda r: (r["start"], r["end"], r["license"]))
     return out
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, coverage: float = COVERAGE, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``matches``: (license, coverage, matched words, start, end in code points), in order of
-    place."""
-    shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates))
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | list[Template] | None = None, *, coverage: float = COVERAGE, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``matches``: (license, kind of template, coverage, matched words, start, end in code
+    points), in order of place.  ``templates`` may be texts by license, or ``Template`` rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(default_templates() if templates is None else templates, least=coverage))
     docs = set_aside(docs, [c for c in ["matches"] if c != text_col])
 
     def make():
@@ -187,7 +196,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, c
 
         def work(batch: pa.RecordBatch):
             for lo, hi, words in wordscan.scan(batch.column(text_col)):
-                yield lo, hi, {"matches": pa.array(_matches(index, words, hi - lo, coverage), _ARROW)}
+                yield lo, hi, {"matches": pa.array(_matches(index, words, hi - lo), _ARROW)}
 
         return work
 
