@@ -1,14 +1,20 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tripquarry.llm import quality_knn as Q
 from tripquarry.llm import toxicity as X
+from tripquarry.llm import wordscan
 from tripquarry.llm.labelled import Calibration, held_out, labelled_sample
 
 from .helpers import ODD, docs, empty
 
+def scanned(text):
+    return wordscan.Words(*wordscan.text_buffers(pa.array([text or ""])))
+
+
 INSULTS = ["grobble", "snarf", "plonk"]
 
 
@@ -83,18 +89,58 @@ def test_sample_bound_and_repeats(spark):
     assert 0 < len(sample) <= 10 and len({r["text"] for r in sample}) == len(sample)
 
 
+def sparse(x):
+    row, column = np.nonzero(x)
+    return X.Sparse(np.searchsorted(row, np.arange(len(x) + 1)), column, x[row, column].astype(np.float32))
+
+
 def test_block_max_search_is_exact():
     draw = np.random.default_rng(2)
-    x = np.maximum(draw.standard_normal((300, 12)), 0).astype(np.float32) + 1e-3
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    enough = draw.integers(1, 4, 300).astype(float)
-    index = X.BlockMaxIndex(x, block=16)
-    for q, entries, cos in index.nearest(x[:40], enough, 20):
-        exact = x @ x[q]
-        order = np.argsort(-exact, kind="stable")
-        last = exact[order[np.searchsorted(np.cumsum(enough[order]), 20)]]
-        assert set(np.flatnonzero(exact > last + 1e-5)) <= set(entries.tolist())
-        assert np.allclose(np.sort(cos)[::-1], np.sort(exact[entries])[::-1], atol=1e-5) and cos.min() >= last - 1e-5
+    # A few columns in most entries, many in few; repeated entries.
+    x = np.maximum(draw.standard_normal((300, 212)), 0) * (draw.random((300, 212)) < np.where(np.arange(212) < 12, 0.7, 0.02))
+    x[250:] = x[:50]
+    full = np.concatenate((x, np.full((300, 1), 0.8)), 1)
+    full /= np.linalg.norm(full, axis=1, keepdims=True)
+    index = X.BlockMaxIndex(sparse(full[:, :-1]), full[:, -1].astype(np.float32), 212, block=16)
+    for k in (1, 20, 299):
+        got, bound = index.cosines(sparse(full[:40, :-1]), full[:40, -1].astype(np.float32), k)
+        exact = full[:40] @ full[index.order].T
+        kth = np.sort(exact, 1)[:, -k]
+        assert (bound <= kth + 1e-5).all()
+        near = exact >= kth[:, None] - 1e-6
+        assert np.allclose(got[:, :300][near], exact[near], atol=1e-5) and (got[:, 300:] == -1).all()
+        other = got[:, :300][~near]
+        assert (np.isclose(other, exact[~near], atol=1e-5) | (other == -1)).all()
+
+
+def test_toxicity_votes_against_brute_force(spark):
+    rows = corpus(150)
+    d, labels = tables(spark, rows)
+    model = X.fit_toxicity(d, labels, neighbours=7)
+    vocabulary = {h: j for j, h in enumerate(model.vocabulary.hashes.tolist())}
+
+    def vector(text):
+        out = np.zeros(len(vocabulary) + 1)
+        for h in scanned(text).hashes.tolist():
+            if h in vocabulary:
+                out[vocabulary[h]] += model.weight[vocabulary[h]]
+        out[-1] = model.constant
+        return out / np.linalg.norm(out)
+
+    sample = labelled_sample(d, labels, "toxic").collect()
+    words = {w for r in sample for w in scanned(r["text"]).hashes.tolist()}
+    assert set(vocabulary) == words  # all words of the sample, none dropped
+    each = {h: sum(h in set(scanned(t).hashes.tolist()) for _, t, _, _ in rows) for h in list(vocabulary)[:20]}
+    assert all(model.df[vocabulary[h]] == n for h, n in each.items()) and model.documents == len(rows)
+    examples, y = np.array([vector(r["text"]) for r in sample]), np.array([r["label"] for r in sample])
+    scored = X.score_toxicity(d, model).collect()
+    for r in scored[::7]:
+        cos = np.minimum(examples @ vector(r["text"]), 1)
+        last = np.sort(cos)[-7]
+        above, tied = cos > last + 1e-6, np.abs(cos - last) <= 1e-6
+        weight = np.exp((cos - 1) / model.width) * (above + tied * (7 - above.sum()) / tied.sum())
+        assert abs(model.calibrate(np.array([weight @ y / weight.sum()]))[0] - r["score"]) < 0.02
+        assert abs(r["neighbours"][0]["cosine"] - cos.max()) < 1e-5
 
 
 def test_latent_votes_are_exact():
@@ -119,9 +165,10 @@ def test_calibration_is_monotone():
 
 
 def test_toxicity_counts_above_255_keep_their_cosine():
-    counts, labels = np.array([[600, 300], [300, 600], [1, 1]], np.float32), np.array([1.0, 0.0, 0.0])
-    model = X.ToxicityModel(X.Vocabulary(["bad", "worse"]), counts, labels, np.array([3.0, 3.0]), 9)
-    assert len(model.total) == 3
-    _, near = model.score(np.array([[900, 300]], np.float32))
-    own, other = np.array([900, 300, X.CONSTANT]), np.array([600, 300, X.CONSTANT])
+    h = np.sort(scanned("bad worse").hashes)
+    counts, labels = [np.array(x, np.float32) for x in ((600, 300), (300, 600), (1, 1))], np.array([1.0, 0.0, 0.0])
+    model = X.ToxicityModel([h] * 3, counts, labels, lambda v: (np.array([3.0, 3.0]), 9), background=1.0)
+    query = X.Sparse(np.array([0, 2]), np.array([0, 1]), np.array([900, 300], np.float32))
+    _, near = model.score(query)
+    own, other = (np.append(np.array(x) * model.weight, X.CONSTANT) for x in ((900, 300), (600, 300)))
     assert abs(near[0][0]["cosine"] - own @ other / np.linalg.norm(own) / np.linalg.norm(other)) < 1e-5
