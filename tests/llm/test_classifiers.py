@@ -147,7 +147,7 @@ def test_latent_votes_are_exact():
     draw = np.random.default_rng(4)
     counts = draw.integers(0, 5, (60, Q.TERMS)).astype(np.float32) * (draw.random((60, Q.TERMS)) < 0.01)
     labels = (draw.random(60) < 0.5).astype(float)
-    model = Q.LatentVotes(counts, labels, (counts > 0).sum(0), 60, rank=8, neighbours=5)
+    model = Q.LatentVotes([(np.flatnonzero(r), r[r > 0]) for r in counts], labels, (counts > 0).sum(0), 60, rank=8, neighbours=5)
     v = model.vectors
     for q in range(10):
         cos = v @ v[q]

@@ -1,11 +1,13 @@
 """Operator 2: quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-Terms are trigrams of byte classes (case, digits, each kind of punctuation), marks of words that
-recur at a short distance, and the text's order of length; terms never hold a label, language,
-source or id.  Document frequencies are counted over all documents.  A bounded sample of labelled
-documents gives the latent space (randomised SVD of its TF-IDF matrix, in numpy on the driver)
-and the labelled vectors; both are broadcast, and their size is fixed by ``MAX_LABELLED``,
-``RANK`` and the number of terms.  Every document is projected, its exact cosines to all labelled
+Terms are of two kinds: words, hashed to ``WORDS`` columns, and the shape of the text (trigrams of
+byte classes: case, digits, each kind of punctuation; marks of words that recur at a short
+distance; the text's order of length).  Either kind is scaled to a length of its own, words to
+``WORD_WEIGHT`` of the shape's.  Terms never hold a label, language, source or id.  Document
+frequencies are counted over all documents.  A bounded sample of labelled documents gives the
+latent space (randomised SVD of its TF-IDF matrix, in numpy on the driver, block by block) and the
+labelled vectors; both are broadcast, and their size is fixed by ``MAX_LABELLED``, ``RANK`` and the
+number of terms.  Every document is projected, its exact cosines to all labelled
 vectors are computed block by block, and the labels of the nearest vote, weighted by similarity.
 Leave-one-out votes of the labelled documents calibrate the score.
 
@@ -26,13 +28,16 @@ from . import wordscan
 from .frames import bound_batches, map_batches, set_aside
 from .labelled import MAX_LABELLED, Calibration, held_out, labelled_sample
 
-RANK = 40
+RANK = 64
 NEIGHBOURS = 24
 SHARPNESS = 8.0
 _CLASSES = 20
 _GAPS = (1, 2, 3, 4)
 _LENGTHS = 24
-TERMS = _CLASSES**3 + len(_GAPS) + _LENGTHS
+SHAPES = _CLASSES**3 + len(_GAPS) + _LENGTHS
+WORDS, WORD_WEIGHT = 1 << 12, 0.5
+TERMS = SHAPES + WORDS
+_ROWS = 256
 
 
 def _byte_classes() -> np.ndarray:
@@ -65,14 +70,15 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(part):
             out[d, : _CLASSES**3] = np.bincount(part, minlength=_CLASSES**3)
     out[np.arange(n), _CLASSES**3 + len(_GAPS) + np.minimum(np.log2(lengths + 1).astype(int), _LENGTHS - 1)] = 1
+    np.add.at(out, (texts, SHAPES + (h % np.uint64(WORDS)).astype(np.int64)), 1)
     return out
 
 
 def _row_slices(column: pa.Array):
     data, offsets = wordscan.text_buffers(column)
     for lo, hi in wordscan.slices(offsets):
-        for a in range(lo, hi, 256):
-            b = min(hi, a + 256)
+        for a in range(lo, hi, _ROWS):
+            b = min(hi, a + _ROWS)
             yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -100,45 +106,66 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     return df, n
 
 
-def _sparse_sample(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(term counts, labels) of the labelled sample, which is bounded, on the driver."""
+def _sparse_sample(sample: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """((terms, counts) of each text, labels) of the labelled sample, which is bounded, on the
+    driver, in an order that doesn't depend on partitions."""
     def run(batches):
         for batch in batches:
-            labels = batch.column(1).to_numpy()
             for a, b, data, offsets in _row_slices(batch.column(0)):
                 counts = term_counts(data, offsets)
                 at = [np.flatnonzero(row) for row in counts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tolist() for x in at], pa.list_(pa.int32())), pa.array([r[x].tolist() for r, x in zip(counts, at)], pa.list_(pa.float32())), pa.array(labels[a:b], pa.int32())],
+                    [pa.array([x.astype(np.int32).tobytes() for x in at], pa.binary()), pa.array([r[x].tobytes() for r, x in zip(counts, at)], pa.binary()), batch.column(1).slice(a, b - a)],
                     names=["at", "n", "label"],
                 )
 
     bound_batches(sample.sparkSession)
-    rows = sample.mapInArrow(run, "at array<int>, n array<float>, label int").collect()
-    rows.sort(key=lambda r: (r["at"], r["n"], r["label"]))  # whatever the partitions were
-    x = np.zeros((len(rows), TERMS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["n"]
-    return x, np.array([r["label"] for r in rows], np.float64)
+    rows = sorted((bytes(r["at"]), bytes(r["n"]), r["label"]) for r in sample.mapInArrow(run, "at binary, n binary, label int").toLocalIterator())
+    return [(np.frombuffer(at, np.int32), np.frombuffer(n, np.float32)) for at, n, _ in rows], np.array([label for _, _, label in rows], np.float64)
 
 
 class LatentVotes:
     """Projection, labelled vectors and calibration; picklable."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, df: np.ndarray, n: int, *, rank: int = RANK, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS):
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, df: np.ndarray, n: int, *, rank: int = RANK, neighbours: int = NEIGHBOURS, sharpness: float = SHARPNESS):
+        """``sample``: (terms, counts) of each labelled text."""
         self.neighbours, self.sharpness, self.labels = neighbours, sharpness, labels
-        self.terms = np.flatnonzero(counts.any(0)) if len(counts) else np.zeros(0, np.int64)
+        used = np.zeros(TERMS, bool)
+        for at, _ in sample:
+            used[at] = True
+        self.terms = np.flatnonzero(used)
         self.idf = (np.log((1 + n) / (1 + df[self.terms])) + 1).astype(np.float32)
-        x = self._weighted(counts)
-        self.project = _right_vectors(x, min(rank, *x.shape)) if x.size else np.zeros((len(self.terms), 1), np.float32)
-        self.vectors = _unit(x @ self.project)
+        self.project = self._right_vectors(sample, min(rank, len(sample), len(self.terms))) if len(self.terms) else np.zeros((0, 1), np.float32)
+        self.vectors = _unit(np.concatenate([np.zeros((0, self.project.shape[1]), np.float32), *(x @ self.project for x in self._blocks(sample))]))
         self.calibrate = Calibration(self._votes(self.vectors, True), labels) if len(labels) > 1 else None
 
+    def _blocks(self, sample: list[tuple[np.ndarray, np.ndarray]]):
+        """The weighted matrix of the sample, some rows at a time."""
+        for lo in range(0, len(sample), _ROWS):
+            part = sample[lo : lo + _ROWS]
+            counts = np.zeros((len(part), TERMS), np.float32)
+            for row, (at, n) in zip(counts, part):
+                row[at] = n
+            yield self._weighted(counts)
+
+    def _right_vectors(self, sample: list[tuple[np.ndarray, np.ndarray]], rank: int) -> np.ndarray:
+        """Leading right singular vectors by randomised subspace iteration."""
+        width = min(rank + 12, len(sample), len(self.terms))
+        q = np.random.default_rng(7).standard_normal((len(self.terms), width)).astype(np.float32)
+        for _ in range(5):
+            q, _ = np.linalg.qr(sum(x.T @ (x @ q) for x in self._blocks(sample)))
+        # With b = x q, the right singular vectors of b are the eigenvectors of its Gram matrix.
+        _, right = np.linalg.eigh(sum((x @ q).T @ (x @ q) for x in self._blocks(sample)))
+        return (q @ right[:, ::-1][:, :rank]).astype(np.float32)
+
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        """Square root of the share of each term, times its inverse document frequency."""
-        x = counts[:, self.terms]
-        total = np.maximum(counts.sum(1, keepdims=True), 1)
-        return _unit(np.sqrt(x / total) * self.idf)
+        """Square root of the share of each term in its kind, times its inverse document
+        frequency."""
+        x = np.sqrt(counts[:, self.terms]) * self.idf
+        split = int(np.searchsorted(self.terms, SHAPES))
+        x[:, :split] = _unit(x[:, :split])
+        x[:, split:] = WORD_WEIGHT * _unit(x[:, split:])
+        return _unit(x)
 
     def _votes(self, q: np.ndarray, leave_out: bool = False, block: int = 256) -> np.ndarray:
         out = np.empty(len(q))
@@ -163,15 +190,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _right_vectors(x: np.ndarray, rank: int) -> np.ndarray:
-    """Leading right singular vectors by randomised subspace iteration."""
-    q = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 12, *x.shape))).astype(np.float32)
-    for _ in range(5):
-        q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, right = np.linalg.svd(x @ q, full_matrices=False)
-    return (q @ right[:rank].T).astype(np.float32)
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_labelled: int = MAX_LABELLED, **options) -> LatentVotes:
     """Fit on at most ``max_labelled`` labelled rows that aren't held out; frequencies are of all
     rows of ``docs``."""
