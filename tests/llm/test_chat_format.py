@@ -1,8 +1,8 @@
 import hashlib
 import random
 
-import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripquarry.llm import chat_format as C
 
@@ -46,8 +46,21 @@ def test_parts_placeholders_and_tokens(spark):
     assert C.content_parts(turns[0][1]) == [("text", "see <|"), ("image", "0"), ("audio", "1"), ("document", "2"), ("image", "3")]
     s = r["loss_spans"][0]
     assert r["formatted"][s["start"] : s["end"]] == "ok"
-    with pytest.raises(ValueError):
-        C.PartVisitor().visit({"type": "video"})
+
+
+def test_odd_parts_have_defined_results(spark):
+    part = lambda **x: {k: x.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")}
+    nan, inf = float("nan"), float("inf")
+    odd = [
+        part(type="video", ref="v.mp4"), part(type="image", width=nan, height=5.0), part(type="image", width=-3.0, height=5.0), part(type="image", width=1e300, height=1e300),
+        part(type="audio", seconds=inf), part(type="audio", seconds=0.0), part(type="document", pages=-1.0), part(type="document", pages=1e-9), part(text=None), None, part(type="text", text="t"),
+    ]
+    frame = spark.createDataFrame([(1, 0, "user", "unused", odd), (1, 0, "user", "unused", []), (1, 0, "user", "unused", odd)], T.StructType([*T.StructType.fromDDL(TURNS).fields, T.StructField("parts", T.ArrayType(C.PART))]))
+    r = C.format_chats(frame.repartition(3), parts_col="parts").first()
+    assert [(a["kind"], a["tokens"]) for a in r["attachments"][:8]] == [("unknown", 256), ("image", 256), ("image", 256), ("image", 256), ("audio", 256), ("audio", 256), ("document", 256), ("document", 1)]
+    assert r["attachments"][0]["ref"] == "v.mp4" and len(r["attachments"]) == 16 and r["n_turns"] == 3
+    assert [a["turn"] for a in r["attachments"]] == [1] * 8 + [2] * 8  # tied rows: by parts, so the empty ones first
+    assert C.content_parts(C.parse(r["formatted"])[1][1])[-2:] == [("document", "7"), ("text", "t")]
 
 
 def test_empty(spark):

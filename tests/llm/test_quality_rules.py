@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tripquarry.llm import quality_rules as Q
@@ -37,6 +38,49 @@ def test_wide_texts_sort_structs(spark, monkeypatch):
     assert [r["n_repeat_words"] for r in Q.with_statistics(docs(spark, texts)).collect()] == [brute(t)[-1] for t in texts]
 
 
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_INDEX_BITS", 60)  # four bits of hash: different windows meet often
+    draw = random.Random(7)
+    texts = [" ".join(draw.choice("abcde") for _ in range(draw.randint(3, 80))) for _ in range(40)]
+    assert [r["n_repeat_words"] for r in Q.with_statistics(docs(spark, texts)).collect()] == [brute(t)[-1] for t in texts]
+
+
+def test_whole_operator_against_plain_em(spark):
+    good, bad = corpus()
+    texts = good + bad + ODD
+    rows = Q.quality_rules(docs(spark, texts)).collect()
+
+    def votes(t):
+        n, chars, symbols, upper, lines, repeats = brute(t)
+        ratio = lambda a, b: a / b if b else None
+        over = lambda x, limit: -1 if x is not None and x > limit else 0
+        size, marks, again, caps = ratio(chars, n), ratio(symbols, n), ratio(repeats, n), ratio(upper, chars)
+        prose = 0 if size is None else -1 if marks > 0.2 or caps > 0.3 or again > 0.35 else 1 if marks < 0.05 and caps < 0.15 and again < 0.25 and 3 <= size <= 9 else 0
+        return [
+            -1 if n < 50 else 1 if n >= 100 else 0,
+            0 if size is None or 2 <= size <= 12 else -1,
+            over(marks, 0.3), over(again, 0.35), over(ratio(lines, n), 0.02), over(caps, 0.3), prose,
+        ]
+
+    v = np.array([votes(t) for t in texts]) + 1
+    prior = np.array([[0.02, 0.28, 0.70], [0.50, 0.45, 0.05]])
+    share, p = 0.85, np.repeat(prior[:, None], v.shape[1], 1)
+    for _ in range(100):
+        like = np.array([np.prod([p[c, m, v[:, m]] for m in range(v.shape[1])], 0) for c in (0, 1)])
+        post = share * like[0] / (share * like[0] + (1 - share) * like[1])
+        share = (post.sum() + 20 * 0.85) / (len(v) + 20)
+        for c, mass in ((0, post), (1, 1 - post)):
+            for m in range(v.shape[1]):
+                row = np.array([mass[v[:, m] == x].sum() for x in range(3)]) + 20 * prior[c]
+                p[c, m] = row / row.sum()
+    like = np.array([np.prod([p[c, m, v[:, m]] for m in range(v.shape[1])], 0) for c in (0, 1)])
+    post = share * like[0] / (share * like[0] + (1 - share) * like[1])
+    for r, x, t in zip(rows, post, texts):
+        n, repeats = brute(t)[0], brute(t)[-1]
+        failed = n < 50 or 100 * repeats > 50 * n
+        assert abs(r["p_good"] - x) < 1e-6 and r["base_failed"] == failed and r["kept"] == (not failed and r["p_good"] >= 0.5)
+
+
 def test_filters_on_statistics(spark):
     assert Q.with_statistics(docs(spark, ODD)).where("n_repeat_words > 0 and n_words > 3").count() == sum(brute(t)[-1] > 0 for t in ODD)
 

@@ -46,7 +46,7 @@ S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_WHITE, S_SPACE, S_BLANK = range(
 #: one or two characters of a contraction left; token complete.
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_BLANK, ONE_LEFT, TWO_LEFT, COMPLETE = range(8)
 FRESH = 8  # added to the symbol of a text's first character
-CACHE_SLICES = 300_000
+CACHE_SLICES, CACHE_BYTES = 300_000, 32 << 20
 VECTOR_BYTES = 192  # longer slices are merged one by one with a heap
 
 
@@ -312,15 +312,16 @@ class Tokenizer:
 
 
 class Encoder:
-    """A tokenizer with a worker's cache of merged slices."""
+    """A tokenizer with a worker's cache of merged slices, bounded by their number and by their
+    bytes and ids; it is emptied before a slice of texts if it is over either bound."""
 
-    def __init__(self, tokenizer: Tokenizer, cache: int = CACHE_SLICES):
-        self.tokenizer, self.limit = tokenizer, cache
+    def __init__(self, tokenizer: Tokenizer, cache: int = CACHE_SLICES, cache_bytes: int = CACHE_BYTES):
+        self.tokenizer, self.limit, self.limit_bytes = tokenizer, cache, cache_bytes
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.used = self.filled = 0
+        self.used = self.filled = self.bytes = 0
         self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.store = np.zeros(4096, np.int32)
 
@@ -333,6 +334,7 @@ class Encoder:
             self.begin[self.used], self.count[self.used] = self.filled, len(ids)
             self.store[self.filled : self.filled + len(ids)] = ids
             self.known[text] = self.used
+            self.bytes += len(text) + 4 * len(ids)
             self.used, self.filled = self.used + 1, self.filled + len(ids)
 
     def _distinct(self, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -356,7 +358,7 @@ class Encoder:
         begin = pieces(data, offsets)
         lengths = np.diff(np.append(begin, len(data)))
         codes, distinct = self._distinct(data, begin, lengths)
-        if self.used > self.limit:
+        if self.used > self.limit or self.bytes > self.limit_bytes:
             self._reset()
         new = [t for t in distinct if t not in self.known]
         if new:

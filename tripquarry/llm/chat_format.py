@@ -13,8 +13,10 @@ by a backslash.  The loss mask covers assistant content.
 Turns are dealt by conversation and sorted within partitions; a task streams over its sorted rows
 and holds one conversation at a time, which is one row of the result.
 
-Defined results: turns are ordered by turn, role and text, nulls first; null text and role are
-empty; repeated rows are repeated turns; a null conversation id is one conversation; an empty table
+Defined results: turns are ordered by turn, role, text and parts, nulls first; null text, role and
+parts are empty; a part of an unknown type becomes a placeholder of type "unknown" with its
+reference; a size that is missing, not finite, not positive or beyond ``PartVisitor.MOST`` tokens
+counts as ``PartVisitor.UNKNOWN`` tokens; repeated rows are repeated turns; a null conversation id is one conversation; an empty table
 gives an empty table; other columns are left out.
 """
 
@@ -35,7 +37,7 @@ TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
 # Control strings that must not survive inside a text.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPED = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
-_PLACE = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_PLACE = re.compile(r"<\|(image|audio|document|unknown):(\d+)\|>")
 
 PART = T.StructType(
     [T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType())]
@@ -54,35 +56,43 @@ def unescape(text: str) -> str:
 class PartVisitor:
     """Flattens parts; numbers attachments across the conversation."""
 
-    #: Side of an image patch; tokens of a second of audio and of a page; of an unknown size.
-    PATCH, PER_SECOND, PER_PAGE, UNKNOWN = 28, 25, 512, 256
+    #: Side of an image patch; tokens of a second of audio and of a page; of an unknown size; the
+    #: most that a part is taken to have.
+    PATCH, PER_SECOND, PER_PAGE, UNKNOWN, MOST = 28, 25, 512, 256, 1 << 40
 
     def __init__(self):
         self.attachments: list[dict] = []
         self.turn = 0
 
-    def visit(self, part: dict) -> str:
-        kind = part.get("type") or "text"
+    def visit(self, part: dict | None) -> str:
+        part = part or {}
         known = {"text": self.text, "image": self.image, "audio": self.audio, "document": self.document}
-        if kind not in known:
-            raise ValueError(f"unknown content part: {kind}")
-        return known[kind](part)
+        return known.get(part.get("type") or "text", self.unknown)(part)
 
     def text(self, part: dict) -> str:
         return escape(part.get("text") or "")
 
     def image(self, part: dict) -> str:
-        w, h = part.get("width"), part.get("height")
-        return self._place("image", part, math.ceil(w / self.PATCH) * math.ceil(h / self.PATCH) if w and h else self.UNKNOWN)
+        return self._place("image", part, self._units(part.get("width"), 1 / self.PATCH) * self._units(part.get("height"), 1 / self.PATCH))
 
     def audio(self, part: dict) -> str:
-        return self._place("audio", part, math.ceil(part["seconds"] * self.PER_SECOND) if part.get("seconds") else self.UNKNOWN)
+        return self._place("audio", part, self._units(part.get("seconds"), self.PER_SECOND))
 
     def document(self, part: dict) -> str:
-        return self._place("document", part, math.ceil(part["pages"] * self.PER_PAGE) if part.get("pages") else self.UNKNOWN)
+        return self._place("document", part, self._units(part.get("pages"), self.PER_PAGE))
+
+    def unknown(self, part: dict) -> str:
+        return self._place("unknown", part, 0)
+
+    def _units(self, size: float | None, each: float) -> int:
+        """Whole units of a size, or 0 where it tells none."""
+        if size is None or not math.isfinite(size) or not 0 < size * each <= self.MOST:
+            return 0
+        return math.ceil(size / round(1 / each)) if each < 1 else math.ceil(size * each)
 
     def _place(self, kind: str, part: dict, tokens: int) -> str:
         n = len(self.attachments)
+        tokens = tokens if 0 < tokens <= self.MOST else self.UNKNOWN
         self.attachments.append({"turn": self.turn, "kind": kind, "number": n, "ref": part.get("ref") or "", "tokens": tokens})
         return f"<|{kind}:{n}|>"
 
@@ -118,7 +128,7 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     parts = F.col(parts_col).cast(T.ArrayType(PART)) if parts_col else F.lit(None).cast(T.ArrayType(PART))
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"), parts.alias("parts"))
     kind = rows.schema["conv_id"].dataType
-    order = ["conv_id", "turn", "role", "text"]
+    order = ["conv_id", "turn", "role", "text", "parts"]
     dealt = rows.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text", "parts")
 
     def run(batches):

@@ -8,7 +8,9 @@ good is a closed column expression of its votes.
 
 Repeated three-word windows are found inside the row: window hashes, with the window's number in
 the low bits, are sorted as plain longs, equal neighbours are verified word for word, and the
-covered words counted from the sorted starts.  No explode and no shuffle.
+covered words counted from the sorted starts.  A text in which two different windows share a hash,
+or with more windows than the low bits number, has its windows sorted by their words instead.  No
+explode and no shuffle.
 
 Defined results: null and empty texts have no words, fail the base rules and get posterior from
 the prior and the votes like any other; repeated rows are judged alike; with no documents the
@@ -30,14 +32,14 @@ BLANKS = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words"]
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_INDEX_BITS = 22  # windows of one text that fit the packed sort; longer texts sort structs
+_INDEX_BITS = 22  # of the packed sort, for the window's number; the others hold its hash
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``n_words, word_chars`` (code points in words), ``n_symbols, n_upper`` (A to Z),
     ``n_dup_lines`` (lines with a word that equal an earlier line), ``n_repeat_words`` (words in three-word windows
     that occur twice or more in the text), all long."""
-    docs = set_aside(docs, [c for c in [*STATS, "_words", "_lines", "_keys", "_wide", "_starts"] if c != text_col])
+    docs = set_aside(docs, [c for c in [*STATS, "_words", "_lines", "_keys", "_wide", "_starts", "_mixed"] if c != text_col])
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     mask = (1 << _INDEX_BITS) - 1
@@ -62,7 +64,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_upper",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when((F.size(w) >= 3) & fits, F.sort_array(F.transform(numbers, lambda i: F.shiftleft(F.shiftright(window(i), _INDEX_BITS), _INDEX_BITS).bitwiseOR(i.cast("long"))))).alias("_keys"),
-        F.when((F.size(w) >= 3) & ~fits, F.sort_array(F.transform(numbers, lambda i: F.struct(window(i).alias("h"), i.alias("i"))))).alias("_wide"),
     )
     k, wide = F.col("_keys"), F.col("_wide")
     high = lambda x: F.shiftright(x, _INDEX_BITS)
@@ -76,7 +77,13 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.coalesce((high(x) == high(y)) & equal(low(x), low(y)), F.lit(False))
 
     def near_wide(x: Column, y: Column) -> Column:
-        return F.coalesce((x["h"] == y["h"]) & equal(x["i"], y["i"]), F.lit(False))
+        return F.coalesce(x["s"] == y["s"], F.lit(False))
+
+    # Different windows of one hash: those between two equal ones would part them.
+    mixed = F.size(F.filter(k, lambda x, j: F.coalesce((high(x) == high(F.get(k, j + 1))) & ~equal(low(x), low(F.get(k, j + 1))), F.lit(False)))) > 0
+    step2 = step2.select(*names, "_words", *STATS[:5], "_keys", (F.col("_keys").isNull() | mixed).alias("_mixed"))
+    spelled = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    step2 = step2.select(*names, "_words", *STATS[:5], "_keys", F.when((F.size(w) >= 3) & F.col("_mixed"), F.sort_array(F.transform(numbers, lambda i: F.struct(spelled(i).alias("s"), i.alias("i"))))).alias("_wide"))
 
     before = lambda j: F.when(j > 0, j - 1).otherwise(F.lit(-1))
     step3 = step2.select(
@@ -116,9 +123,11 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """One rule for each kind of junk, so that rules err apart: most only accuse, since a text
-    that isn't of one kind of junk isn't good for that; length and prose shape also vouch.
-    Ratios of a text without words are null, and abstain."""
+    """One rule for each kind of junk: most only accuse, since a text that isn't of one kind of
+    junk isn't good for that; length and prose shape also vouch.  "prose" reads the same ratios as
+    three others, so the posterior is surer than independent rules would make it; without it a
+    single accusation couldn't outweigh the prior.  Ratios of a text without words are null, and
+    abstain."""
     n, chars = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("word_chars"), F.lit(0))
     symbols, repeats, upper = F.col("n_symbols") / n, F.col("n_repeat_words") / n, F.col("n_upper") / chars
     size = F.col("word_chars") / n

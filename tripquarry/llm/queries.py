@@ -92,6 +92,37 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def quality_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The base columns of operator 8, which SQL can state."""
+    stats = quality_rules.with_statistics(table(spark, folder, "documents").select("doc_id", "text"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+def chat_typed_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Operator 4 on typed parts: by the turn's number, an image, an audio clip, or a document and
+    a part of an unknown type stand beside the text of the conversation's turn."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in chat_format.PART}
+    part = lambda **x: F.struct(*((x[f.name].cast(f.dataType) if f.name in x else none[f.name]).alias(f.name) for f in chat_format.PART))
+    number, ref = F.col("turn").cast("double"), F.concat(F.lit("ref"), F.col("turn").cast("string"))
+    text = part(type=F.lit("text"), text=F.col("text"))
+    image = part(type=F.lit("image"), ref=ref, width=(number + 1) * 100, height=F.lit(50.0))
+    audio = part(type=F.lit("audio"), ref=ref, seconds=number * 1.5)
+    document, other = part(type=F.lit("document"), ref=ref, pages=number), part(type=F.lit("video"), ref=ref)
+    kind = F.col("turn") % 4
+    parts = F.when(kind == 1, F.array(image, text)).when(kind == 2, F.array(text, audio)).when(kind == 3, F.array(document, other, text)).otherwise(F.array(text))
+    chats = chat_format.format_chats(turns.withColumn("parts", parts), parts_col="parts")
+    told = F.transform("attachments", lambda a: F.concat_ws(":", a["turn"].cast("string"), a["kind"], a["number"].cast("string"), a["ref"], a["tokens"].cast("string")))
+    return chats.select(
+        "conv_id",
+        "n_turns",
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "attachment_tokens",
+        F.sha2(F.array_join(told, ","), 256).alias("attachments_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +136,8 @@ QUERIES = {
         op8_quality_rules,
         op9_license_scan,
         op10_lm_scoring,
+        quality_statistics,
+        chat_typed_parts,
     )
 }
 
@@ -135,4 +168,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op4_chat_format": OP4_SQL}
+QUALITY_STATISTICS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (SELECT r, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+"""
+
+CHAT_TYPED_PARTS_SQL = r"""
+WITH t AS (SELECT conv_id, turn, turn % 4 AS k, 'ref' || CAST(turn AS VARCHAR) AS ref, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM conversations),
+e AS (SELECT *, CASE WHEN k IN (1, 2) THEN 1 WHEN k = 3 THEN 2 ELSE 0 END AS n, len(regexp_extract_all(role || chr(10) || text, '\\|<[|]|</?s>|\[/?INST\]|<</?SYS>>')) AS n_escapes FROM t),
+b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY place) - n AS BIGINT) AS was FROM e),
+a AS (
+  SELECT conv_id, place, was AS number, CASE k WHEN 1 THEN 'image' WHEN 2 THEN 'audio' ELSE 'document' END AS kind, ref,
+    CAST(CASE k WHEN 1 THEN ceil((turn + 1) * 100 / 28.0) * 2 WHEN 2 THEN ceil(turn * 1.5 * 25) ELSE turn * 512 END AS BIGINT) AS tokens FROM b WHERE n > 0
+  UNION ALL SELECT conv_id, place, was + 1, 'unknown', ref, 256 FROM b WHERE n = 2),
+g AS (SELECT conv_id, count(*) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS attachment_tokens, CAST(sum(length('<|' || kind || ':' || CAST(number AS VARCHAR) || '|>')) AS BIGINT) AS chars,
+    string_agg(CAST(place AS VARCHAR) || ':' || kind || ':' || CAST(number AS VARCHAR) || ':' || ref || ':' || CAST(tokens AS VARCHAR), ',' ORDER BY number) AS told FROM a GROUP BY conv_id),
+f AS (SELECT conv_id, count(*) AS n_turns, CAST(sum(length('<|turn|><|says|><|end|>') + 1 + length(role) + length(text) + n_escapes) AS BIGINT) AS chars FROM e GROUP BY conv_id)
+SELECT f.conv_id, n_turns, CAST(coalesce(n_attachments, 0) AS BIGINT) AS n_attachments, coalesce(attachment_tokens, 0) AS attachment_tokens, sha256(coalesce(told, '')) AS attachments_sha256, CAST(f.chars + coalesce(g.chars, 0) AS BIGINT) AS formatted_chars
+FROM f LEFT JOIN g ON f.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op4_chat_format": OP4_SQL, "quality_statistics": QUALITY_STATISTICS_SQL, "chat_typed_parts": CHAT_TYPED_PARTS_SQL}
