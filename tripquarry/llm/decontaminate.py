@@ -5,9 +5,11 @@ task scans the word windows of its texts against it, verifies every hash hit wor
 marks, cuts or drops what is contaminated.
 
 The index is broadcast in blocks: a block holds at most ``block_bytes`` of benchmark text, so a
-broadcast has a fixed bound whatever the benchmark's size.  Documents pass the blocks one after
-another (a stated query set against all rows, in blocks), the hits so far travelling with the
-row; between blocks the rows are checkpointed.  No shuffle is needed.
+broadcast has a fixed bound whatever the benchmark's size.  A benchmark of more than one block
+first goes into a table of ``2 ** SIEVE_BITS`` bits, one for the hash of each window; only documents
+with a window whose bit is set then pass the blocks one after another, the hits so far travelling
+with the row and the rows checkpointed between blocks.  The others, nearly all, are scanned once
+and never written.  No shuffle is needed.
 
 Defined results: null text has no words; an item without words has no window; items that share
 a window all count; repeated rows are scanned one by one; an empty benchmark contaminates
@@ -16,6 +18,8 @@ nothing; an item without id marks words but isn't listed.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +30,7 @@ from . import wordscan
 from .frames import checkpointed, map_batches, set_aside
 
 BLOCK_BYTES = 16 << 20
+SIEVE_BITS = 27
 _SLOTS = 20
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _OWN = ["n_words", "n_hit", "items", "spans", "contaminated"]
@@ -38,7 +43,7 @@ class WindowIndex:
     def __init__(self, items: list[tuple[str | None, str]], n: int):
         self.ids = [i for i, _ in items]
         words = wordscan.Words(*wordscan.text_buffers(pa.array([t for _, t in items], pa.large_string())))
-        counts, first = words.counts, words.of_text[:-1]
+        counts = words.counts
         # The words again, one space between two: a window is then one slice.
         self.text = words.joined(0, len(words.starts))
         lengths = words.ends - words.starts
@@ -55,7 +60,12 @@ class WindowIndex:
             bits = np.zeros(1 << _SLOTS, bool)
             bits[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
             self.tables[k] = (hashes, at, item, bits)
-        del first
+
+    def sieve(self, table: np.ndarray) -> None:
+        """Set the bits of all windows."""
+        for hashes, *_ in self.tables.values():
+            at = hashes >> np.uint64(64 - SIEVE_BITS)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     def hits(self, words: wordscan.Words):
         """(first word, length, items) of each verified window of the scanned texts."""
@@ -87,6 +97,27 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
         yield block
 
 
+def _sifter(shared, text_col: str):
+    """Marks texts with a window whose bit is set."""
+
+    def make():
+        table, sizes = shared.value
+
+        def work(batch: pa.RecordBatch):
+            for lo, hi, words in wordscan.scan(batch.column(text_col)):
+                maybe, texts = np.zeros(hi - lo, bool), words.texts
+                for k in sizes:
+                    found, where = words.grams(k)
+                    at = found >> np.uint64(64 - SIEVE_BITS)
+                    hit = table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+                    maybe[texts[where[hit > 0]]] = True
+                yield lo, hi, {"n_words": pa.array(words.counts.astype(np.int64)), "_maybe": pa.array(maybe)}
+
+        return work
+
+    return make
+
+
 def _marker(shared, text_col: str, first: bool):
     def make():
         index: WindowIndex = shared.value
@@ -145,11 +176,22 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if keep is None or c in keep]
-    docs = set_aside(docs.select(*dict.fromkeys([*keep, text_col])), [c for c in [*_OWN, "_words"] if c != text_col])
+    docs = set_aside(docs.select(*dict.fromkeys([*keep, text_col])), [c for c in [*_OWN, "_words", "_maybe"] if c != text_col])
     columns = docs.columns
     added = [("n_words", T.LongType()), ("_words", T.ArrayType(T.IntegerType(), False)), ("items", T.ArrayType(T.StringType())), ("spans", _SPANS)]
-    out, first = docs, True
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    blocks = lambda: _blocks(benchmark, item_col, item_text_col, block_bytes)
+    out, first, rest = docs, True, None
+    if len(list(itertools.islice(blocks(), 2))) > 1:
+        table, sizes = np.zeros(1 << SIEVE_BITS - 3, np.uint8), set()
+        for block in blocks():
+            index = WindowIndex(block, n)
+            index.sieve(table)
+            sizes |= set(index.tables)
+        sifted = map_batches(docs, [("n_words", T.LongType()), ("_maybe", T.BooleanType())], _sifter(spark.sparkContext.broadcast((table, sorted(sizes))), text_col), keep=columns)
+        none = [F.array().cast(kind).alias(name) for name, kind in added[1:]]
+        rest = sifted.where(~F.col("_maybe")).select(*columns, "n_words", *none)
+        out = sifted.where("_maybe").select(*columns)
+    for block in blocks():
         if not first:
             out = checkpointed(out)
         shared = spark.sparkContext.broadcast(WindowIndex(block, n))
@@ -157,6 +199,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         first = False
     if first:
         out = map_batches(docs, added, _marker(spark.sparkContext.broadcast(WindowIndex([], n)), text_col, True), keep=columns)
+    if rest is not None:
+        out = out.unionByName(rest)
     kept = [c for c in columns if c != text_col or text_col in keep]
     return out.select(*kept, "n_words", F.size("_words").cast("long").alias("n_hit"), "items", "spans", (F.size("_words") > 0).alias("contaminated"))
 
