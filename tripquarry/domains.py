@@ -21,13 +21,16 @@ class Domain:
     fold: bool = False  # are spellings compared without case
     default: str | None = None
 
+    def known(self, extra: dict[str, str] | None = None) -> dict[str, str]:
+        """Every accepted spelling with its canonical name."""
+        return {n: n for n in self.codes if n not in ("unknown", "unspecified")} | self.names | (extra or {})
+
     def _map(self, pairs: dict) -> Column:
         return F.create_map(*[F.lit(x) for x in chain(*pairs.items())])
 
     def canonical(self, name: Column, extra: dict[str, str] | None = None) -> Column:
         """The canonical name of a spelling, null if there is none."""
-        known = {n: n for n in self.codes if n not in ("unknown", "unspecified")} | self.names | (extra or {})
-        return F.try_element_at(self._map(known), F.lower(name) if self.fold else name)
+        return F.try_element_at(self._map(self.known(extra)), F.lower(name) if self.fold else name)
 
     def code(self, canonical: Column) -> Column:
         return F.try_element_at(self._map(self.codes), canonical)

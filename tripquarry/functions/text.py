@@ -166,10 +166,6 @@ def format_stops(stops: Column) -> Column:
     return F.when(n == 0, "direct").when(n == 1, F.concat(F.lit("1 stop: "), text)).otherwise(F.concat(n.cast("string"), F.lit(" stops: "), text))
 
 
-def or_default(text: Column, default) -> Column:
-    return F.coalesce(text, F.lit(default))
-
-
 def dash_bar(width: Column | int) -> Column:
     width = F.lit(width) if isinstance(width, int) else width
     return F.repeat(F.lit("-"), F.least(width, F.lit(100)))

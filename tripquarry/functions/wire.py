@@ -1,78 +1,71 @@
-"""Message wire format as column expressions: varints, tags, length-delimited fields, base64."""
+"""Message wire format: varints, tags, length-delimited fields, base64.
+
+Messages are put together in Arrow-batched functions, from plain bytes; ``varint`` is also a column.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VARINT, BYTES = 0, 2
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once and named, however often the body uses it.
-
-    Without it, a message nested in messages would be repeated in the expression at every level.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def empty() -> Column:
-    return F.lit(b"")
+def _varint(n: int) -> bytes:
+    n, out = n & (1 << 64) - 1, bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
 
 
-def byte(value: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2, "0"))
+_SHORT = [_varint(n) for n in range(1 << 10)]
 
 
-def varint(value: Column) -> Column:
+def varint_bytes(n: int) -> bytes:
     """Base-128, low group first; a negative number takes ten bytes, as 64-bit two's complement."""
-    def made(v: Column) -> Column:
-        last = F.floor((F.length(F.bin(v)) - 1) / 7).cast("int")
-        group = lambda i: F.call_function("shiftrightunsigned", v, i * 7).bitwiseAND(F.lit(127))
-        long = F.aggregate(F.sequence(F.lit(0), last), empty(), lambda out, i: F.concat(out, byte(group(i) + F.when(i < last, 128).otherwise(0))))
-        return F.when((v >= 0) & (v < 128), byte(v)).otherwise(long)
-
-    return let(value.cast("bigint"), made)
+    return _SHORT[n] if 0 <= n < len(_SHORT) else _varint(n)
 
 
 def tag(number: int, kind: int) -> bytes:
-    key, out = number << 3 | kind, bytearray()
-    while True:
-        key, low = key >> 7, key & 127
-        out.append(low | (128 if key else 0))
-        if not key:
-            return bytes(out)
+    return varint_bytes(number << 3 | kind)
 
 
-def number_field(number: int, value: Column, *, keep_zero: bool = False) -> Column:
-    """A varint field; null is absent, and so is 0 unless it has presence."""
-    def made(v: Column) -> Column:
-        wanted = v.isNotNull() if keep_zero else F.coalesce(v != 0, F.lit(False))
-        return F.when(wanted, F.concat(F.lit(tag(number, VARINT)), varint(v))).otherwise(empty())
+def number_field(number: int, value: int | None, *, keep_zero: bool = False) -> bytes:
+    """A varint field; None is absent, and so is 0 unless it has presence."""
+    return b"" if value is None or not (value or keep_zero) else tag(number, VARINT) + varint_bytes(value)
 
-    return let(value.cast("bigint"), made)
 
+def bytes_field(number: int, payload: bytes | str | None) -> bytes:
+    """A length-delimited field, also when it is empty; None is absent."""
+    if payload is None:
+        return b""
+    body = payload.encode() if isinstance(payload, str) else payload
+    return tag(number, BYTES) + varint_bytes(len(body)) + body
 
-def bytes_field(number: int, payload: Column) -> Column:
-    """A length-delimited field, also when it is empty; null is absent."""
-    made = lambda p: F.when(p.isNotNull(), F.concat(F.lit(tag(number, BYTES)), varint(F.octet_length(p)), p)).otherwise(empty())
-    return let(payload.cast("binary"), made)
 
-
-def text_field(number: int, text: Column) -> Column:
+def text_field(number: int, text: str | None) -> bytes:
     """A string without presence: the empty string is absent."""
-    return let(text, lambda t: F.when(F.coalesce(t != "", F.lit(False)), bytes_field(number, t)).otherwise(empty()))
+    return bytes_field(number, text) if text else b""
 
 
-def joined(array: Column, each) -> Column:
-    """The bytes of ``each(x)`` for every x, in order."""
-    return F.aggregate(F.coalesce(array, F.array().cast("array<string>")), empty(), lambda a, x: F.concat(a, each(x)))
+def packed_field(number: int, values: Iterable[int | None] | None) -> bytes:
+    """Packed varints; an empty list is absent, and so is one with a missing value."""
+    values = list(values or ())
+    return b"" if not values or None in values else bytes_field(number, b"".join(map(varint_bytes, values)))
 
 
-def packed_field(number: int, values: Column) -> Column:
-    """Packed varints; an empty array is absent."""
-    body = F.aggregate(F.coalesce(values, F.array().cast("array<bigint>")), empty(), lambda a, x: F.concat(a, varint(x)))
-    return let(body, lambda b: F.when(F.octet_length(b) > 0, bytes_field(number, b)).otherwise(empty()))
+def varint(value: Column) -> Column:
+    """``varint_bytes`` as a column expression."""
+    v = value.cast("bigint")
+    last = F.floor((F.length(F.bin(v)) - 1) / 7).cast("int")
+    byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    group = lambda i: F.call_function("shiftrightunsigned", v, i * 7).bitwiseAND(F.lit(127))
+    long = F.aggregate(F.sequence(F.lit(0), last), F.lit(b""), lambda out, i: F.concat(out, byte(group(i) + F.when(i < last, F.lit(128).cast("bigint")).otherwise(F.lit(0).cast("bigint")))))
+    return F.when((v >= 0) & (v < 128), byte(v)).otherwise(long)
 
 
 def base64_standard(data: Column) -> Column:

@@ -128,13 +128,24 @@ def itinerary(card: Column, pos: Column, origin: Column, destination: Column) ->
     }
 
 
+def flight_card_arrays(pages: DataFrame, *, key: list[str] | None = None, html: str = "html") -> DataFrame:
+    """The key columns and ``cards``, the raw cards of each page; pages go no further."""
+    return pages.select(*(key or ["request_id"]), flight_cards_udf()(F.col(html)).alias("cards"))
+
+
+def flights_of_cards(cards: DataFrame, *, key: list[str] | None = None, origin: str = "from_airport", destination: str = "to_airport") -> DataFrame:
+    """One row for each itinerary: the key columns, ``pos``, and the itinerary."""
+    key = key or ["request_id"]
+    each = cards.select(*key, F.col(origin).alias("_from"), F.col(destination).alias("_to"), F.posexplode("cards").alias("pos", "_card"))
+    fields = itinerary(F.col("_card"), F.col("pos"), F.col("_from"), F.col("_to"))
+    return each.select(*key, "pos", *[c.alias(n) for n, c in fields.items()])
+
+
 def extract_flights(pages: DataFrame, *, key: list[str] | None = None, html: str = "html", origin: str = "from_airport", destination: str = "to_airport") -> DataFrame:
     """One row for each itinerary of each page: the key columns, ``pos``, and the itinerary."""
     key = key or ["request_id"]
-    slim = pages.select(*key, F.col(origin).alias("_from"), F.col(destination).alias("_to"), flight_cards_udf()(F.col(html)).alias("_cards"))
-    cards = slim.select(*key, "_from", "_to", F.posexplode("_cards").alias("pos", "_card"))
-    fields = itinerary(F.col("_card"), F.col("pos"), F.col("_from"), F.col("_to"))
-    return cards.select(*key, "pos", *[c.alias(n) for n, c in fields.items()])
+    slim = flight_card_arrays(pages, key=[*key, F.col(origin).alias("_origin"), F.col(destination).alias("_destination")], html=html)
+    return flights_of_cards(slim, key=key, origin="_origin", destination="_destination")
 
 
 def hotel_fields(card: Column) -> dict[str, Column]:
@@ -151,11 +162,23 @@ def hotel_fields(card: Column) -> dict[str, Column]:
     }
 
 
+def hotel_card_arrays(pages: DataFrame, *, key: list[str] | None = None, html: str = "html") -> DataFrame:
+    """The key columns, ``cards``, the raw cards of each page, and ``valid``: is there a card whose
+    price isn't empty."""
+    cards = pages.select(*(key or ["request_id"]), hotel_cards_udf()(F.col(html)).alias("cards"))
+    return cards.withColumn("valid", F.coalesce(F.exists("cards", lambda c: c["price"] != ""), F.lit(False)))
+
+
+def hotels_of_cards(cards: DataFrame, *, key: list[str] | None = None) -> DataFrame:
+    """One row for each hotel: the key columns, ``pos``, and the hotel."""
+    key = key or ["request_id"]
+    each = cards.select(*key, F.posexplode("cards").alias("pos", "_card"))
+    return each.select(*key, "pos", *[c.alias(n) for n, c in hotel_fields(F.col("_card")).items()])
+
+
 def extract_hotels(pages: DataFrame, *, key: list[str] | None = None, html: str = "html") -> DataFrame:
     """One row for each hotel of each page: the key columns, ``pos``, and the hotel."""
-    key = key or ["request_id"]
-    cards = pages.select(*key, hotel_cards_udf()(F.col(html)).alias("_cards")).select(*key, F.posexplode("_cards").alias("pos", "_card"))
-    return cards.select(*key, "pos", *[c.alias(n) for n, c in hotel_fields(F.col("_card")).items()])
+    return hotels_of_cards(hotel_card_arrays(pages, key=key, html=html), key=key)
 
 
 def links(html: Column) -> Column:
@@ -163,9 +186,11 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit('<a href="([^"]+)"'), F.lit(1)), lambda x: text.absolute_url(x)))
 
 
-def headings(html: Column, level: int = 2, stop_words: list[str] | None = None) -> Column:
+def headings(html: Column, level: int = 2, stop_words: list[str] | None = None, *, trim: bool = True) -> Column:
     """Texts of headings without inner markup: trimmed, not empty, no stop words, no repeats."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(f"(?s)<h{level}[^>]*>([^<]*)</h{level}>"), F.lit(1)), lambda x: text.trim_all(x))
+    found = F.regexp_extract_all(html, F.lit(f"(?s)<h{level}[^>]*>([^<]*)</h{level}>"), F.lit(1))
+    if trim:
+        found = F.transform(found, lambda x: text.trim_all(x))
     stop = stop_words or []
     return F.array_distinct(F.filter(found, lambda x: (x != "") & ~x.isin(stop) if stop else x != ""))
 
@@ -178,3 +203,8 @@ def data_names(html: Column) -> Column:
 def hotel_names(html: Column, stop_words: list[str] | None = None) -> Column:
     """Headings and data-names together, first come first, without repeats."""
     return F.array_distinct(F.concat(headings(html, 2, stop_words), data_names(html)))
+
+
+def in_both(names: Column, others: Column) -> Column:
+    """Names that are in both, without repeats, in the order of the first."""
+    return F.array_intersect(names, others)

@@ -68,8 +68,9 @@ def _right(value: Column, width: int) -> Column:
     return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(width) - F.char_length(value), F.lit(0))), value)
 
 
-def flight_table(itineraries: DataFrame, requests: DataFrame, *, terminal: int = 100, top: int = TOP_FLIGHTS) -> DataFrame:
-    """(request_id, table): heading, figures, and a line for each of the first ``top`` rows."""
+def flight_table(itineraries: DataFrame, requests: DataFrame, *, terminal: int = 100, top: int = TOP_FLIGHTS, with_widths: bool = False) -> DataFrame:
+    """(request_id, table): heading, figures, and a line for each of the first ``top`` rows;
+    ``with_widths`` adds the widths of the columns."""
     shown = F.struct("pos", *FLOORS, "price", "warn")
     # One pass over the rows: figures and widths of all, cells of the first few.
     per = flight_cells(itineraries).groupBy("request_id").agg(
@@ -90,7 +91,7 @@ def flight_table(itineraries: DataFrame, requests: DataFrame, *, terminal: int =
         bar, F.lit("\n  🛫  "), "from_airport", F.lit(" → "), "to_airport", F.lit(" on "), "depart_date", F.lit("\n"), bar, F.lit("\n\n💰 Best Price:  $"), F.col("_best").cast("string"), F.lit("\n📊 Total Flights: "), F.col("_total").cast("string"),
         F.lit("\n"), url, F.lit("\n🏆 Top "), F.least(F.lit(top), F.col("_total")).cast("string"), F.lit(" Results:\n"), dash, F.lit("\n\n"), header, F.lit("\n"), dash, F.lit("\n\n"), "_lines",
     )
-    return requests.select("request_id", "from_airport", "to_airport", "depart_date", "search_url").join(rows, "request_id").select("request_id", table.alias("table"))
+    return requests.select("request_id", "from_airport", "to_airport", "depart_date", "search_url").join(rows, "request_id").select("request_id", table.alias("table"), *([f"{n}_width" for n in FLOORS] if with_widths else []))
 
 
 def hotel_list(hotels: DataFrame, *, limit: int = TOP_HOTELS) -> DataFrame:

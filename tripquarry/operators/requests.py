@@ -87,25 +87,16 @@ def one_way_warning(r: dict[str, Column] | None = None) -> Column:
     return F.when((domains.TRIP.canonical(r["trip_type"]) == "round_trip") & r["return_date"].isNull(), "Round trip without a return date: searching one way")
 
 
-def _once(token: Column) -> Column:
-    """The token, computed where it is made and nowhere else.
-
-    What is added is always empty, but not deterministic: without it the optimizer copies the
-    whole encoding into every later use, Python calls included.
-    """
-    return F.concat(token, F.when(F.monotonically_increasing_id() < 0, "-").otherwise(""))
-
-
 def with_flight_token(requests: DataFrame) -> DataFrame:
     """Add ``validation_error, tfs, search_url``; an invalid request has neither token nor URL."""
     checked = requests.withColumn("validation_error", flight_error())
-    coded = checked.withColumn("tfs", _once(F.when(F.col("validation_error").isNull(), tokens.tfs_encode())))
+    coded = checked.withColumn("tfs", tokens.tfs_encode(wanted=F.col("validation_error").isNull()))
     return coded.withColumn("search_url", tokens.flight_url(F.col("tfs")))
 
 
 def with_hotel_token(requests: DataFrame) -> DataFrame:
     checked = requests.withColumn("validation_error", hotel_error())
-    coded = checked.withColumn("ts", _once(F.when(F.col("validation_error").isNull(), tokens.ts_encode())))
+    coded = checked.withColumn("ts", tokens.ts_encode(wanted=F.col("validation_error").isNull()))
     return coded.withColumn("search_url", tokens.hotel_url(F.col("loc_q_search"), F.col("ts")))
 
 

@@ -6,12 +6,15 @@ arithmetic on both sides; the operators run over every row.
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import domains, schemas
-from ..functions import text, tokens
+from ..functions import text, tokens, wire
 from ..operators import admission, extract, pages, render, requests, responses
+from ..sources import readers
 from . import search
 
 QUERIES: dict = {}
@@ -311,6 +314,95 @@ def ts_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("request_id", "adults", join("children_ages").alias("ages"), "checkin_date", "checkout_date", "nights", "used_guests_dropdown", "sort_order", "min_guest_rating", join("hotel_stars").alias("stars"), join("amenities").alias("amenities"), "min_price", "max_price")
 
 
+@query("""
+WITH r AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'economy' WHEN 1 THEN 'business' WHEN 2 THEN 'premium_economy' ELSE 'economy' END AS cabin, CASE o_orderkey % 3 WHEN 1 THEN 'one_way' ELSE 'round_trip' END AS trip, CASE WHEN o_orderkey % 5 = 0 THEN 'soon' WHEN o_orderkey % 5 = 1 THEN strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') END AS back FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS request_id, cabin AS cabin_class, trip AS trip_type, 'adult:' || (o_orderkey % 3) || CASE WHEN o_custkey % 2 = 0 THEN ',child:2' ELSE '' END AS passengers, CAST(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 3 END AS INT) AS max_stops,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'At least one adult is required' WHEN back = 'soon' THEN 'Invalid return date format' END AS validation_error FROM r""")
+def flight_tool_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON tool inputs to requests."""
+    k, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    pick = lambda n, *x: F.get(F.array(*[F.lit(v) for v in x]), (k % n).cast("int"))
+    asked = F.struct(
+        F.lit("SFO").alias("from"), F.lit("JFK").alias("to"), text.iso_date(day).alias("date"), F.when(k % 5 == 0, "soon").when(k % 5 == 1, text.iso_date(F.date_add(day, 3))).alias("return_date"), pick(4, "economy", "Business", "PremiumEconomy", None).alias("seat"),
+        (k % 3).alias("adults"), F.when(c % 2 == 0, F.array(F.lit(4), F.lit(9))).alias("children_ages"), pick(3, "round-trip", "one-way", None).alias("trip_type"), F.when(c % 3 > 0, c % 3).cast("int").alias("max_stops"),
+    )
+    inputs = table(spark, folder, "orders").select(s(k).alias("request_id"), F.to_json(asked).alias("input"))
+    built = requests.flight_requests_from_tool(readers.parse_flight_inputs(inputs))
+    people = F.array_join(F.transform("passengers", lambda p: F.concat(p["type"], F.lit(":"), p["count"].cast("string"))), ",")
+    return built.select("request_id", "cabin_class", "trip_type", people.alias("passengers"), "max_stops", requests.flight_error().alias("validation_error"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS request_id, CASE WHEN o_orderkey % 7 + 1 > 6 THEN 'Maximum 6 guests allowed' WHEN o_orderkey % 11 = 0 THEN 'Invalid checkout date' WHEN o_orderkey % 13 = 0 THEN 'Price must be positive'
+  WHEN o_custkey % 7 IN (0, 5, 6) THEN 'Star rating must be between 2 and 5' END AS validation_error,
+  CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'Departure date cannot be in the past' WHEN o_orderkey % 2 = 0 AND CAST(o_orderdate AS DATE) - 400 < DATE '1995-01-01' THEN 'Return date cannot be in the past' END AS flight_date_error FROM orders""")
+def more_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """V9, V12, V15, V18, V19."""
+    k, c, day = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    none = F.array().cast("array<int>")
+    stay = {
+        "adults": k % 7 + 1, "children_ages": none, "hotel_stars": F.array(F.lit(3), (c % 7 + 1).cast("int")), "checkin_date": F.lit("2026-01-05"), "checkout_date": F.when(k % 11 == 0, "never").otherwise("2026-01-09"),
+        "min_price": F.lit(None).cast("int"), "max_price": F.when(k % 13 == 0, 0).otherwise(90),
+    }
+    trip = {"depart_date": text.iso_date(day), "return_date": F.when(k % 2 == 0, text.iso_date(F.date_sub(day, 400)))}
+    return table(spark, folder, "orders").select(s(k).alias("request_id"), requests.hotel_error(stay).alias("validation_error"), requests.flight_date_error(F.to_date(F.lit("1995-01-01")), trip).alias("flight_date_error"))
+
+
+def _token(*legs: bytes, people: tuple[int, ...] = (1,)) -> str:
+    return base64.b64encode(b"".join(wire.bytes_field(3, x) for x in legs) + wire.packed_field(8, people)).decode()
+
+
+def _bad_tokens() -> list[str]:
+    """Tokens that break one rule each, and last one that breaks none."""
+    leg = lambda day, a, b: wire.text_field(2, day) + wire.bytes_field(13, wire.text_field(2, a)) + wire.bytes_field(14, wire.text_field(2, b))
+    day, early = "2025-07-15", "2025-07-10"
+    return ["n*t base64", _token(leg(day, "", "JFK")), _token(leg(day, "SFO", "")), _token(leg("soon", "SFO", "JFK")), _token(leg(day, "SFO", "JFK"), leg(early, "JFK", "SFO")), _token(leg(day, "SFO", "JFK"), people=(1, 4, 4)), base64.b64encode(b"\x1a\x7f").decode(), _token(leg(day, "SFO", "JFK"))]
+
+
+@query("""
+SELECT o_orderkey, (['Failed to decode base64', 'from_airport is required', 'to_airport is required', 'Invalid depart date format', 'return_date (2025-07-10) must be on or after depart_date (2025-07-15)',
+  'Cannot have more infants on lap (2) than adults (1)', 'buffer underflow', NULL])[1 + CAST(o_orderkey % 8 AS INT)] AS decode_error, CASE WHEN o_orderkey % 8 = 7 THEN 'SFO' END AS from_airport FROM orders""")
+def token_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """A token that breaks a rule gives that rule's error and no request."""
+    token = F.get(F.array(*map(F.lit, _bad_tokens())), (F.col("o_orderkey") % 8).cast("int"))
+    read = readers.flight_requests_from_tokens(table(spark, folder, "orders").select("o_orderkey", token.alias("tfs")), id_col="o_orderkey")
+    return read.select(F.col("request_id").alias("o_orderkey"), "decode_error", "from_airport")
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS request_id, 'SFO' AS from_airport, (['economy','premium_economy','business','first',NULL])[1 + CAST(o_orderkey % 5 AS INT)] AS cabin_class, (['round_trip','one_way',NULL])[1 + CAST(o_orderkey % 3 AS INT)] AS trip_type,
+  strftime(o_orderdate, '%Y-%m-%d') AS depart_date, 'adult:' || (o_custkey % 3 + 1) || CASE WHEN o_custkey % 2 > 0 THEN ',child:1' ELSE '' END AS passengers, CAST(CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 4 END AS INT) AS max_stops, CASE WHEN o_orderkey % 2 = 0 THEN 'UA,LH' END AS airlines FROM orders""")
+def flight_command_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Command-line values to flight requests."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda n, *x: F.get(F.array(*map(F.lit, x)), (k % n).cast("int"))
+    values = table(spark, folder, "orders").select(
+        s(k).alias("request_id"), F.lit("sfo").alias("from"), F.lit("Jfk").alias("to"), F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy/M/d")).alias("date"), F.lit(None).cast("string").alias("return_date"),
+        pick(5, "E", "premium-economy", "Business", "f", "steerage").alias("cabin"), pick(3, "RT", "OneWay", "wander").alias("trip"), s(c % 3 + 1).alias("adults"), s(c % 2).alias("children"), F.lit("0").alias("infants_in_seat"), F.lit("0").alias("infants_on_lap"),
+        s(c % 4).alias("max_stops"), F.when(k % 2 == 0, "UA, LH").otherwise("").alias("airlines"),
+    )
+    r = readers.flight_arguments(values)
+    people = F.array_join(F.transform("passengers", lambda p: F.concat(p["type"], F.lit(":"), p["count"].cast("string"))), ",")
+    return r.select("request_id", "from_airport", "cabin_class", "trip_type", "depart_date", people.alias("passengers"), "max_stops", F.array_join("preferred_airlines", ",").alias("airlines"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS request_id, o_custkey % 4 AS adults, 'EUR' AS currency, CASE o_orderkey % 3 WHEN 0 THEN 'lowest_price' WHEN 1 THEN 'highest_rating' END AS sort_order, CASE WHEN o_orderkey % 2 = 0 THEN '3,5' END AS stars, 'spa,ev_charger' AS amenities, 'SAUNA' AS unknown_amenities,
+  CAST(o_custkey % 300 AS INT) AS min_price, CAST(CASE o_orderkey % 3 WHEN 0 THEN 2147483647 WHEN 1 THEN 99 END AS INT) AS max_price, CAST(4 AS INT) AS nights FROM orders""")
+def hotel_command_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Command-line values to hotel requests."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    values = table(spark, folder, "orders").select(
+        s(k).alias("request_id"), F.lit("Oslo").alias("location"), F.lit("2026-01-05").alias("checkin"), F.lit("2026-01-09").alias("checkout"), s(c % 4).alias("adults"), F.lit("").alias("children"), F.lit("eur").alias("currency"),
+        F.when(k % 3 == 0, "price").when(k % 3 == 1, "rating").otherwise("relevance").alias("sort"), F.lit("4.5").alias("rating"), F.when(k % 2 == 0, "3, 5").otherwise("3,9").alias("stars"), F.lit("spa, ev-charger,sauna").alias("amenities"),
+        F.concat(s(c % 300), F.lit(".75")).alias("min_price"), F.when(k % 3 == 0, "1e12").when(k % 3 == 1, "99.99").otherwise("cheap").alias("max_price"),
+    )
+    r = readers.hotel_arguments(values)
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    stars = F.when(F.col("hotel_stars").isNotNull(), join("hotel_stars"))
+    return r.select("request_id", "adults", "currency", "sort_order", stars.alias("stars"), join("amenities").alias("amenities"), join("unknown_amenities").alias("unknown_amenities"), "min_price", "max_price", "nights")
+
+
 @query("""
 SELECT l_orderkey, CAST(sum(CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS adults, CAST(sum(CASE WHEN l_linenumber % 4 = 1 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS children,
   CAST(sum(CASE WHEN l_linenumber % 4 >= 2 THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) AS infants FROM lineitem GROUP BY l_orderkey""")
@@ -383,7 +475,29 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages""")
 def page_heading(spark: SparkSession, folder: str) -> DataFrame:
     """X6, L3.  Headings are taken as they stand, entities and all."""
-    return table(spark, folder, "pages").select("page_id", F.coalesce(F.get(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1)), F.lit(0)), F.lit("")).alias("heading"))
+    found = extract.headings(F.col("html"), level=1, trim=False)
+    return table(spark, folder, "pages").select("page_id", F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("heading"))
+
+
+@query("""
+WITH p AS (SELECT page_id, ['Inn ' || (page_id % 5), 'Lodge', 'Inn ' || (page_id % 5), 'More results'] AS h, [CASE WHEN page_id % 3 = 0 THEN 'Lodge' ELSE 'Hut ' || page_id END, '', 'Inn 4'] AS d FROM pages)
+SELECT page_id, 'Inn ' || (page_id % 5) || '|Lodge' AS headings, d[1] || '|Inn 4' AS data_names,
+  'Inn ' || (page_id % 5) || '|Lodge' || CASE WHEN page_id % 3 = 0 THEN '' ELSE '|' || d[1] END || CASE WHEN page_id % 5 = 4 THEN '' ELSE '|Inn 4' END AS names,
+  CAST(CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN page_id % 5 = 4 THEN 1 ELSE 0 END AS BIGINT) AS n_both FROM p""")
+def page_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings and data-names, in order, and how many are in both."""
+    k = F.col("page_id")
+    inn = F.concat(F.lit("Inn "), s(k % 5))
+    names = F.when(k % 3 == 0, "Lodge").otherwise(F.concat(F.lit("Hut "), s(k)))
+    html = F.concat(
+        F.lit("<h2>"), inn, F.lit("</h2><h2 class='x'> Lodge\n</h2><h2>"), inn, F.lit("</h2><h2>More results</h2><h2><b>inner</b></h2><h2> </h2>"),
+        F.lit('<i data-name="'), names, F.lit('"></i><i data-name=""></i><i data-name="Inn 4"></i><i data-name="Inn 4"></i>'),
+    )
+    stop = ["More results"]
+    both = extract.in_both(extract.headings(F.col("h"), 2, stop), extract.data_names(F.col("h")))
+    return table(spark, folder, "pages").select("page_id", html.alias("h")).select(
+        "page_id", F.array_join(extract.headings(F.col("h"), 2, stop), "|").alias("headings"), F.array_join(extract.data_names(F.col("h")), "|").alias("data_names"), F.array_join(extract.hotel_names(F.col("h"), stop), "|").alias("names"), F.size(both).cast("bigint").alias("n_both")
+    )
 
 
 @query("""
@@ -469,10 +583,50 @@ SELECT request_id, '      1  ' || rpad(p_brand, CAST(aw AS INT), ' ') || '  10:3
 def flight_rendering(spark: SparkSession, folder: str) -> DataFrame:
     """S13, A9, L1, F26-F28, V33, P12."""
     rows = extract.extract_flights(_flight_pages(spark, folder))
-    shown = render.flight_table(rows, requests.with_flight_token(_part_requests(spark, folder)))
+    shown = render.flight_table(rows, requests.with_flight_token(_part_requests(spark, folder)), with_widths=True)
     line = F.split_part("table", F.lit("\n\n"), F.lit(-1))
-    widths = render.column_widths(render.flight_cells(rows))
-    return shown.select("request_id", F.split_part(line, F.lit("\n"), F.lit(1)).alias("first_line")).join(widths, "request_id")
+    return shown.select("request_id", F.split_part(line, F.lit("\n"), F.lit(1)).alias("first_line"), *[f"{n}_width" for n in render.FLOORS])
+
+
+def _list_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A result page for each part: two containers of three and four cards, with airlines of many
+    widths, the last card long and without stops."""
+    z = F.col("p_size")
+    name = F.rpad(F.col("p_brand"), (z % 40 + 10).cast("int"), F.lit("x"))
+
+    def card(i: int) -> Column:
+        hours = F.lit("19 hr") if i == 6 else F.concat(s(z), F.lit(" min"))
+        return F.concat(F.lit('<li><div class="sSHqwe tPgKwe ogfYpf"><span>'), name, F.lit(f'</span></div><span class="mv1WYe"><div>{i + 1}:00 AM</div><div>9:15 PM</div></span><div class="Ak5kof"><div>'), hours, F.lit(f'</div></div><div class="YMlIz FpEdX"><span>{"€" if i == 0 else "$"}{900 - i}</span></div></li>'))
+
+    box = lambda *cards: F.concat(F.lit('<div jsname="YdtKid"><ul class="Rk10dc">'), *cards, F.lit("</ul></div>"))
+    html = F.concat(F.lit("<html><body>"), box(*map(card, range(3))), F.lit("<p>between</p>"), box(*map(card, range(3, 7))), F.lit("</body></html>"))
+    return table(spark, folder, "part").select(s("p_partkey").alias("request_id"), F.lit("SFO").alias("from_airport"), F.lit("JFK").alias("to_airport"), F.lit(200).alias("status"), html.alias("html"))
+
+
+@query("""
+WITH w AS (SELECT CAST(p_partkey AS VARCHAR) AS request_id, greatest(7, CAST(p_size % 40 + 10 AS INT)) AS aw FROM part),
+x AS (SELECT *, aw + 15 + 10 + 25 AS total FROM w)
+SELECT request_id, 5::BIGINT AS n_lines, '💰 Best Price:  $900' AS best, '📊 Total Flights: 7' AS total, '🏆 Top 5 Results:' AS top, '5' AS last_rank, false AS warned,
+  CAST(CASE WHEN total > 75 THEN greatest(floor(aw * (75.0::DOUBLE / total)), 4) ELSE aw END AS INT) AS airline_width, CAST(CASE WHEN total > 75 THEN greatest(floor(15 * (75.0::DOUBLE / total)), 10) ELSE 15 END AS INT) AS times_width,
+  CAST(CASE WHEN total > 75 THEN greatest(floor(10 * (75.0::DOUBLE / total)), 5) ELSE 10 END AS INT) AS duration_width, CAST(CASE WHEN total > 75 THEN greatest(floor(25 * (75.0::DOUBLE / total)), 10) ELSE 25 END AS INT) AS stops_width FROM x""")
+def flight_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven rows of two containers, five shown, widths shrunk to fit."""
+    rows = extract.extract_flights(_list_pages(spark, folder))
+    shown = render.flight_table(rows, requests.with_flight_token(_part_requests(spark, folder)), with_widths=True)
+    lines = F.split(F.split_part("table", F.lit("\n\n"), F.lit(-1)), "\n")
+    find = lambda mark: F.regexp_extract("table", f"({mark}[^\n]*)", 1)
+    return shown.select(
+        "request_id", F.size(lines).cast("bigint").alias("n_lines"), find("💰").alias("best"), find("📊").alias("total"), find("🏆").alias("top"), F.split_part(F.trim(F.element_at(lines, -1)), F.lit(" "), F.lit(1)).alias("last_rank"),
+        F.col("table").contains("⚠️").alias("warned"), *[f"{n}_width" for n in render.FLOORS],
+    )
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS request_id, i AS pos, CASE WHEN i = 6 THEN ' ⚠️' ELSE '' END AS warn, 'direct' AS stops, CASE WHEN i = 6 THEN '19h' ELSE p_size || 'm' END AS duration
+FROM part, unnest(range(0, 7)) AS t(i)""")
+def suspicious_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A direct flight of more than 18 hours is marked."""
+    return render.flight_cells(extract.extract_flights(_list_pages(spark, folder))).select("request_id", F.col("pos").cast("bigint").alias("pos"), "warn", "stops", "duration")
 
 
 @query("""
@@ -483,6 +637,42 @@ def hotel_rendering(spark: SparkSession, folder: str) -> DataFrame:
     return render.hotel_list(extract.extract_hotels(_hotel_pages(spark, folder)))
 
 
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS request_id, 'Found 12 hotel(s)' AS heading, 10::BIGINT AS n_entries, '10. Hotel 9' AS last_entry FROM supplier""")
+def hotel_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """Twelve hotels, ten shown."""
+    card = lambda i: f'<div class="uaTTDe"><h2 class="BgYkof">Hotel {i}</h2><span class="qQOQpe">${i + 50}</span></div>'
+    pages_ = table(spark, folder, "supplier").select(s("s_suppkey").alias("request_id"), F.lit("".join(map(card, range(12)))).alias("html"))
+    entries = F.split(F.regexp_replace("listing", r"^[^\n]*\n", ""), "\n\n")
+    return render.hotel_list(extract.extract_hotels(pages_)).select("request_id", F.split_part("listing", F.lit("\n"), F.lit(1)).alias("heading"), F.size(entries).cast("bigint").alias("n_entries"), F.split_part(F.element_at(entries, -1), F.lit("\n"), F.lit(1)).alias("last_entry"))
+
+
+def _outcomes(spark: SparkSession, folder: str, good: DataFrame, name: str, bad: str) -> DataFrame:
+    """Pages of five kinds by request: cards, ``bad`` ones, a consent wall, an error, none."""
+    k = F.col("request_id").cast("long") % 5
+    kept = good.where(k < 4)
+    return kept.withColumns({"html": F.when(k == 0, F.col("html")).when(k == 1, bad).when(k == 2, "<p>ppConfig</p>").otherwise("<p>busy</p>"), "status": F.when(k == 3, 503).otherwise(200)})
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS request_id, CASE WHEN p_partkey % 5 = 0 THEN 'Flight search failed: At least one adult is required'
+  ELSE (['Flight search failed: No flights parsed from response: loading', 'Flight search failed: Consent wall detected: <p>ppConfig</p>', 'Flight search failed: HTTP error 503: <p>busy</p>', 'Flight search failed: no page was captured'])[CAST(p_partkey % 5 AS INT)] END AS error, CAST(NULL AS VARCHAR) AS response FROM part""")
+def flight_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request comes back, with the reason why it has no flights."""
+    pages_ = _outcomes(spark, folder, _flight_pages(spark, folder), "Flight", "<p>Loading results</p>")
+    got = search.search_flights(_part_requests(spark, folder), pages_)
+    return got.select("request_id", "error", responses.to_json(F.col("response")).alias("response"))
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS request_id, CASE WHEN s_suppkey % 5 > 0 THEN (['Hotel search failed: No valid hotel results found: other', 'Hotel search failed: Consent wall detected: <p>ppConfig</p>', 'Hotel search failed: HTTP error 503: <p>busy</p>', 'Hotel search failed: no page was captured'])[CAST(s_suppkey % 5 AS INT)] END AS error, CASE WHEN s_suppkey % 5 = 0 THEN 2::BIGINT END AS total FROM supplier""")
+def hotel_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """A page whose cards all lack a price isn't valid."""
+    pages_ = _outcomes(spark, folder, _hotel_pages(spark, folder), "Hotel", '<div class="uaTTDe"><h2 class="BgYkof">Bare</h2><span class="qQOQpe"></span></div>')
+    got = search.search_hotels(_supplier_requests(spark, folder), pages_)
+    return got.select("request_id", "error", F.col("response.search_hotels.total").alias("total"))
+
+
 @query("""SELECT o_orderkey, CAST(least(100 * power(2, o_orderkey % 12), 30000) AS BIGINT) AS delay_ms, true AS jitter_in_bounds FROM orders""")
 def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
     """R4, R5."""

@@ -1,8 +1,8 @@
 """End-to-end searches over captured pages, as one lazy plan.
 
-requests -> validation -> token and URL -> join with pages -> page checks -> extraction ->
-response.  Requests that are invalid never reach the Python stage.  A bad row doesn't fail the
-job: every request comes back with a response or an error.
+requests -> validation -> token and URL; pages -> page checks -> cards; a join of the two -> rows ->
+response.  Every page is parsed once, where it is read, and only its cards are shuffled.  A bad row
+doesn't fail the job: every request comes back with a response or an error.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def search_flights(wanted: DataFrame, captured: DataFrame, *, today: Column | No
     coded = requests.with_flight_token(wanted)
     late = F.lit(None).cast("string") if today is None else requests.flight_date_error(today)
     run = coded.where(F.col("validation_error").isNull() & late.isNull()).select("request_id", "from_airport", "to_airport", "depart_date", "cabin_class", "search_url")
-    found = extract.extract_flights(_usable(captured).select("request_id", "html").join(run.select("request_id", "from_airport", "to_airport"), "request_id"))
+    cards = extract.flight_card_arrays(_usable(captured)).where(F.size("cards") > 0)
+    found = extract.flights_of_cards(cards.join(run.select("request_id", "from_airport", "to_airport"), "request_id"))
     answers = responses.flight_responses(found, run)
     return _outcome(coded, captured, answers, "Flight search failed: ", late, pages.flight_failure(F.col("html")), "No flights parsed from response")
 
@@ -51,7 +52,7 @@ def search_hotels(wanted: DataFrame, captured: DataFrame, *, today: Column | Non
     late = F.lit(None).cast("string") if today is None else requests.hotel_date_error(today)
     extra = ["warnings"] if "warnings" in coded.columns else []
     run = coded.where(F.col("validation_error").isNull() & late.isNull()).select("request_id", "loc_q_search", "checkin_date", "checkout_date", "currency", "search_url", *extra)
-    found = extract.extract_hotels(_usable(captured).select("request_id", "html").join(run.select("request_id"), "request_id", "left_semi"))
-    valid = responses.valid_hotel_pages(found).where("valid").select("request_id")
-    answers = responses.hotel_responses(found.join(valid, "request_id", "left_semi"), run)
+    cards = extract.hotel_card_arrays(_usable(captured)).where("valid")
+    found = extract.hotels_of_cards(cards.join(run.select("request_id"), "request_id", "left_semi"))
+    answers = responses.hotel_responses(found, run)
     return _outcome(coded, captured, answers, "Hotel search failed: ", late, pages.hotel_failure(F.col("html")), "No valid hotel results found")
