@@ -1,11 +1,14 @@
 """Extraction, page checks, responses, renderings, searches, streams and the tool server."""
 
+import http.client
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripquarry import schemas, serve
+from tripquarry.functions import text
 from tripquarry.operators import extract, pages, render, responses
 from tripquarry.operators.dom import parse_html
 from tripquarry.plans import registry, search
@@ -127,6 +130,54 @@ def test_tool_server(spark):
     assert serve.answer(spark, None, {"method": "x"}) is None
 
 
+def test_tool_server_inputs_and_errors(spark):
+    tools = serve.answer(spark, None, {"id": 1, "method": "tools/list"})["result"]["tools"]
+    flights = next(t for t in tools if t["name"] == "search_flights")["inputSchema"]
+    assert flights["required"] == ["from", "to", "date", "adults"] and flights["properties"]["adults"]["type"] == "integer" and flights["properties"]["children_ages"]["items"]["type"] == "integer"
+    assert all(p["description"] for t in tools for p in t["inputSchema"]["properties"].values())
+    # A broken source of pages fails the call, not the server.
+    call = {"id": 7, "method": "tools/call", "params": {"name": "search_flights", "arguments": {"from": "SFO"}}}
+    assert serve.answer(spark, None, call)["error"]["code"] == -32603
+    assert serve.answer(spark, None, {"id": 1, "method": "tools/call", "params": {"name": "search_flights", "arguments": [1]}})["error"]["code"] == -32602
+    assert serve.answer(spark, None, [1])["error"]["code"] == serve.answer(spark, None, {"id": 1, "method": "x", "params": 3})["error"]["code"] == -32600
+    assert serve.reply(spark, None, "{")["error"]["code"] == -32700
+
+
+def test_tool_server_over_http(spark):
+    server = serve.http_server(spark, captured(spark), "127.0.0.1", 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def post(body, path=serve.PATH):
+        at = http.client.HTTPConnection("127.0.0.1", server.server_address[1], timeout=120)
+        at.request("POST", path, body)
+        got = at.getresponse()
+        return got.status, got.read()
+
+    try:
+        status, body = post(json.dumps({"jsonrpc": "2.0", "id": 3, "method": "initialize"}))
+        assert status == 200 and json.loads(body)["id"] == 3
+        arguments = {"request_id": "ok", "from": "SFO", "to": "JFK", "date": "2025-07-15", "adults": 1, "trip_type": "one_way"}
+        status, body = post(json.dumps({"id": 4, "method": "tools/call", "params": {"name": "search_flights", "arguments": arguments}}))
+        assert json.loads(json.loads(body)["result"]["content"][0]["text"])["search_flights"]["total"] == 2
+        assert post(json.dumps({"method": "notifications/initialized"})) == (202, b"") and post("{}", "/x")[0] == 404
+        assert json.loads(post("{")[1])["error"]["code"] == -32700
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_sql_functions_equal_the_columns(spark):
+    registry.register(spark)
+    label = "Layover (1 of 1) is a 2 hr 5 min layover at Hub in Oslo."
+    got = spark.sql(f"SELECT parse_duration('11 hr 5 min') AS d, parse_duration(NULL) AS n, layovers(array('{label}', NULL)) AS l").first()
+    want = spark.range(1).select(text.layovers(F.array(F.lit(label))).alias("l")).first()
+    assert got["d"] == 665 and got["n"] is None and got["l"] == want["l"]
+    flight = "named_struct('from_airport','SFO','to_airport','JFK','depart_date','2025-7-15','cabin_class','economy','passengers',array(named_struct('type','adult','count',1L)),'trip_type','one_way')"
+    assert spark.sql(f"SELECT tfs_encode({flight}) AS t").first()["t"] == "GhoSCjIwMjUtMDctMTVqBRIDU0ZPcgUSA0pGS0IBAUgBmAEC"
+    hotel = "named_struct('adults',0L,'checkin_date','2026-01-25','checkout_date','2026-01-31','currency','EUR')"
+    assert spark.sql(f"SELECT ts_decode(ts_encode({hotel})).params.currency AS c").first()["c"] == "EUR"
+
+
 def test_published_schema():
     flights = schemas.json_schema(schemas.FLIGHT_RESPONSE)
     body = flights["properties"]["search_flights"]

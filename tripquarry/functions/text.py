@@ -6,6 +6,8 @@ Patterns that must see Unicode spaces and digits carry ``(?U)``.  Text becomes a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,6 +93,13 @@ def layovers(labels: Column) -> Column:
     return F.flatten(F.transform(labels, of))
 
 
+def find_layovers(labels: list[str | None]) -> list[dict]:
+    """``layovers`` outside of columns."""
+    whole = lambda x: int(x) if x and int(x) < 1 << 31 else 0
+    found = (m for label in labels if label is not None for m in re.finditer(LAYOVER.removeprefix("(?U)"), label))
+    return [{"_airport_code": None, "airport_city": m[3].strip(), "duration_minutes": whole(m[1]) * 60 + whole(m[2])} for m in found]
+
+
 def base36(text: Column) -> Column:
     """An unsigned 32-bit base-36 number; 0 if it isn't one."""
     value = F.when(text.rlike(r"^\+?[0-9A-Za-z]+$"), F.conv(F.regexp_replace(text, r"^\+?0*(?=[0-9A-Za-z])", ""), 36, 10).try_cast("decimal(38,0)"))

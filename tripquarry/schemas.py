@@ -29,6 +29,7 @@ SEGMENT = _struct(
     airline=S, flight_number=S, departure_airport=S, arrival_airport=S, departure_time=S, arrival_time=S, arrival_plus_days=I, duration_minutes=I, aircraft=S
 )
 LAYOVER = _struct(_airport_code=S, airport_city=S, duration_minutes=I)
+LAYOVERS = T.ArrayType(LAYOVER)
 ITINERARY = _struct(request_id=S, pos=I, id=S, flights=T.ArrayType(SEGMENT), price=I, currency=S, duration_minutes=I, **{"class": S}, layovers=T.ArrayType(LAYOVER))
 
 HOTEL = _struct(request_id=S, pos=I, name=S, price=S, rating=D, reviews=L, amenities=T.ArrayType(S), location_rating=S, star_class=S, url=S, address=S)
