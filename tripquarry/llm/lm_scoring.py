@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import parts, wordscan
-from .frames import bound_batches, checkpointed, map_batches, released, set_aside
+from .frames import aside, bound_batches, checkpointed, map_batches, released
 
 TOP_WORDS, ENDINGS = 128, 64
 OWN_WORDS = 1 << 21  # 13 bytes each
@@ -277,9 +277,8 @@ def score_lm(docs: DataFrame, lexicon: Lexicon, network: WindowNetwork, *, text_
     """Add ``score`` (mean log probability of a word, given both sides), ``log_prob`` (the sum),
     ``n_words`` and ``perplexity``."""
     spark = docs.sparkSession
-    docs = set_aside(docs, [c for c in ("score", "log_prob", "n_words", "perplexity") if c != text_col])
+    docs, keep = aside(docs, [c for c in ("score", "log_prob", "n_words", "perplexity") if c != text_col], keep)
     lex, net = spark.sparkContext.broadcast(lexicon), spark.sparkContext.broadcast(network)
-    keep = docs.columns if keep is None else keep
 
     def make():
         lexicon, table = lex.value, net.value.table()

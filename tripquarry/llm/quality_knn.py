@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordscan
-from .frames import bound_batches, map_batches, set_aside
+from .frames import aside, bound_batches, map_batches
 from .labelled import MAX_LABELLED, Calibration, held_out, labelled_sample
 
 RANK = 64
@@ -201,8 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality
 def score_quality(docs: DataFrame, model: LatentVotes, *, text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 if the score reaches the threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = set_aside(docs, [c for c in ("score", "predicted") if c != text_col])
-    keep = docs.columns if keep is None else keep
+    docs, keep = aside(docs, [c for c in ("score", "predicted") if c != text_col], keep)
 
     def make():
         own: LatentVotes = shared.value

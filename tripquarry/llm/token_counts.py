@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import byte_bpe, wordscan
-from .frames import map_batches, set_aside
+from .frames import aside, map_batches, set_aside
 
 RULES = ("first", "last", "most", "split")
 
@@ -107,8 +107,8 @@ def count_section_tokens(docs: DataFrame, tokenizer: byte_bpe.Tokenizer, *, rule
     """Add ``n_tokens, n_crossing`` (tokens that cross a boundary), ``section_tokens`` and
     ``section_ends`` (characters) for the lines of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    docs = set_aside(docs, [n for n, _ in _ADDED if n != text_col])
-    return map_batches(docs, _ADDED, _worker(shared, text_col, rule, _lines), docs.columns if keep is None else keep)
+    docs, keep = aside(docs, [n for n, _ in _ADDED if n != text_col], keep)
+    return map_batches(docs, _ADDED, _worker(shared, text_col, rule, _lines), keep)
 
 
 def count_field_tokens(docs: DataFrame, tokenizer: byte_bpe.Tokenizer, fields: list[str], *, separator: str = "\n", rule: str = "most") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import parts, wordscan
-from .frames import bound_batches, checkpointed, map_batches, released, set_aside
+from .frames import aside, bound_batches, checkpointed, map_batches, released
 from .labelled import MAX_LABELLED, Calibration, labelled_sample
 
 NEIGHBOURS = 40
@@ -283,8 +283,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     associated with the label, in order) and ``neighbours`` (cosine and label of the three nearest
     examples)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = set_aside(docs, [c for c in ("score", "predicted", "terms", "neighbours") if c != text_col])
-    keep = docs.columns if keep is None else keep
+    docs, keep = aside(docs, [c for c in ("score", "predicted", "terms", "neighbours") if c != text_col], keep)
 
     def make():
         own: ToxicityModel = shared.value
