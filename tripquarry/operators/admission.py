@@ -28,11 +28,13 @@ class MaxRetriesExceeded(RuntimeError):
 @dataclass
 class TokenBucket:
     """Starts full.  No sooner than a second after the last refill, it gains as many whole tokens
-    as the time passed allows, up to its limit, and the clock starts anew."""
+    as the time passed allows, up to its limit, and the clock starts anew.  ``second`` is a second
+    in the clock's units; whole units are counted exactly."""
 
     limit: int
     last: float
     tokens: int = -1
+    second: float = 1
 
     def __post_init__(self):
         self.limit = max(1, self.limit)
@@ -41,8 +43,8 @@ class TokenBucket:
 
     def take(self, now: float) -> bool:
         passed = now - self.last
-        if passed >= 1:
-            self.tokens = min(self.limit, self.tokens + math.floor(passed * self.limit))
+        if passed >= self.second:
+            self.tokens = min(self.limit, self.tokens + math.floor(passed * self.limit // self.second))
             self.last = now
         if self.tokens:
             self.tokens -= 1
@@ -145,8 +147,8 @@ def replay_bucket(arrivals: DataFrame, limit: int, *, key: str, at: str, order:
             for k, micros in zip(frame[key].tolist(), frame["_at"].tolist()):
                 k = None if pd.isna(k) else k
                 if not started or k != now:
-                    now, started, bucket = k, True, TokenBucket(limit, micros / 1e6)
-                admitted.append(bucket.take(micros / 1e6))
+                    now, started, bucket = k, True, TokenBucket(limit, micros, second=1_000_000)
+                admitted.append(bucket.take(micros))
                 left.append(bucket.tokens)
             yield frame.drop(columns="_at").assign(admitted=admitted, tokens=left)
 

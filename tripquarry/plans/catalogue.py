@@ -681,11 +681,16 @@ def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", delay.alias("delay_ms"), jitter.alias("_j")).select("o_orderkey", "delay_ms", ((F.col("_j") >= 0) & (F.col("_j") <= F.floor(F.col("delay_ms") * 0.5))).alias("jitter_in_bounds"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL),
+b AS (SELECT event_id, user_id, n, t AS last, 1::BIGINT AS tokens, true AS admitted FROM e WHERE n = 1
+  UNION ALL SELECT event_id, user_id, n, CASE WHEN passed >= 1000000 THEN t ELSE last END, greatest(had - 1, 0), had > 0
+  FROM (SELECT e.*, b.last, e.t - b.last AS passed, CASE WHEN e.t - b.last >= 1000000 THEN least(2, b.tokens + (e.t - b.last) * 2 // 1000000) ELSE b.tokens END AS had FROM b JOIN e ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.n = b.n + 1))
+SELECT event_id, user_id, admitted, CAST(tokens AS BIGINT) AS tokens FROM b""")
 def token_bucket_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """A sequential fold, so there is no SQL; tests hold it against a plain loop."""
-    events = table(spark, folder, "events").select("event_id", "ts", "event_type")
-    return admission.replay_bucket(events, 2, key="event_type", at="ts", order=["event_id"]).select("event_id", "event_type", "admitted", "tokens")
+    """A sequential fold for each user."""
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id")
+    return admission.replay_bucket(events, 2, key="user_id", at="ts", order=["event_id"]).select("event_id", "user_id", "admitted", "tokens")
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
