@@ -5,6 +5,7 @@ Messages are put together in Arrow-batched functions, from plain bytes; ``varint
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -30,10 +31,12 @@ def varint_bytes(n: int) -> bytes:
     return _SHORT[n] if 0 <= n < len(_SHORT) else _varint(n)
 
 
+@functools.cache
 def tag(number: int, kind: int) -> bytes:
     return varint_bytes(number << 3 | kind)
 
 
+@functools.lru_cache(1 << 14)
 def number_field(number: int, value: int | None, *, keep_zero: bool = False) -> bytes:
     """A varint field; None is absent, and so is 0 unless it has presence."""
     return b"" if value is None or not (value or keep_zero) else tag(number, VARINT) + varint_bytes(value)
