@@ -5,13 +5,15 @@ import json
 import threading
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tripquarry import schemas, serve
 from tripquarry.functions import text
-from tripquarry.operators import extract, pages, render, responses
+from tripquarry.operators import dom, extract, pages, render, responses
 from tripquarry.operators.dom import parse_html
-from tripquarry.plans import registry, search
+from tripquarry.plans import catalogue, registry, search
 from tripquarry.sources import readers, writers
 from tripquarry.streaming import pages as stream
 
@@ -38,6 +40,37 @@ def test_dom_optional_ends_and_selectors():
         root.first("a > b")
 
 
+_PIECES = st.sampled_from(
+    ["<div>", "</div>", '<div class="a b" id="x">', '<p class="a" class="b">', "<p>", "</p>", "<ul>", "<li>", "</li>", "</ul>", "<br>", "<br/>", "<BR>", "<td>", "<tr>", "<table>", "</table>", "<option>", "</span >", "<span a=1>", "<a href='x'>", '<a href="x&amp;y">', '<a href="x>y">', "text", " a < b ", "&amp;", "&am", "x & y", "&#8364;", "&lt;p&gt;", "<!-- <p> -->", "<!DOCTYPE html>", "<script>", "</script>", "<style>", "</style>", "<title>", "</title>", "<", ">", '"', "€\n", "<?x?>", "</p a=\"1\">", "<x", "</"]
+)
+
+
+@given(st.lists(_PIECES, max_size=14).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_plain_markup_gives_the_tree_of_the_standard_tokenizer(html):
+    def told(e):
+        return (e.tag, e.attrs, e.classes, [told(c) if isinstance(c, dom.Element) else c for c in e.children])
+
+    whole = dom._Builder()
+    whole.feed(html)
+    whole.close()
+    assert told(parse_html(html)) == told(whole.root)
+
+
+def test_plain_pages_need_no_standard_tokenizer():
+    for html in (PAGE, HOTELS):
+        assert dom._Builder().read_plain(html) == len(html)
+    assert dom._Builder().read_plain("<p>a</p><!-- x --><p>") == len("<p>a</p>")
+
+
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id p_partkey", "int(id) p_size", "'b' p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    pages_ = catalogue._list_pages(spark, str(tmp_path))
+    assert pages_.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert pages_.select("request_id").distinct().count() == 40
+    assert catalogue.suspicious_rows(spark, str(tmp_path)).count() == 280
+
+
 def test_flight_extraction(spark):
     rows = [("1", PAGE, "SFO", "JFK"), ("2", "", "SFO", "JFK"), ("3", None, "SFO", "JFK"), ("4", PAGE.replace("</ul>", CARD.replace("$1,234", "") + "</ul>").replace('<div class="YMlIz FpEdX"></div>', ""), "A", "B")]
     got = extract.extract_flights(spark.createDataFrame(rows, "request_id string, html string, from_airport string, to_airport string")).orderBy("request_id", "pos").collect()

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schemas
 from ..functions import text
-from .dom import Element, parse_html
+from .dom import Element, matching, parse_html
 
 # The selectors of result pages.
 FLIGHT_LIST, FLIGHT_CARD = 'div[jsname="YdtKid"]', "ul.Rk10dc li"
@@ -50,12 +50,14 @@ def flight_cards(html: str) -> list[dict]:
     out, f = [], FLIGHT_FIELDS
     for block in parse_html(html).select(FLIGHT_LIST):
         for card in block.select(FLIGHT_CARD):
-            airline, times = _text(card.first(f["airline"])), [e.text() for e in card.select(f["times"])]
-            duration, price = _text(card.first(f["duration"])), _text(card.first(f["price"]))
+            below = list(card.descendants())
+            first = lambda field: _text(next(matching(below, f[field]), None))  # noqa: B023, E731
+            airline, times = first("airline"), [e.text() for e in matching(below, f["times"])]
+            duration, price = first("duration"), first("price")
             if airline is None or len(times) < 2 or duration is None or price is None:
                 continue
-            labels = [e.attrs["aria-label"] for e in card.select(f["layovers"]) if "aria-label" in e.attrs]
-            out.append({"airline": airline, "departure": times[0], "arrival": times[1], "plus_days": _text(card.first(f["plus_days"])), "duration": duration, "price": price, "layover_labels": labels})
+            labels = [e.attrs["aria-label"] for e in matching(below, f["layovers"]) if "aria-label" in e.attrs]
+            out.append({"airline": airline, "departure": times[0], "arrival": times[1], "plus_days": first("plus_days"), "duration": duration, "price": price, "layover_labels": labels})
     return out
 
 
