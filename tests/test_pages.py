@@ -71,6 +71,13 @@ def test_pages_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     assert catalogue.suspicious_rows(spark, str(tmp_path)).count() == 280
 
 
+def test_ranking_broadcasts_no_requests(spark, tmp_path):
+    spark.range(40).selectExpr("id p_partkey", "int(id) p_size", "'b' p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    ranked = catalogue.flight_ranking(spark, str(tmp_path))
+    assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.count() == 40
+
+
 def test_flight_extraction(spark):
     rows = [("1", PAGE, "SFO", "JFK"), ("2", "", "SFO", "JFK"), ("3", None, "SFO", "JFK"), ("4", PAGE.replace("</ul>", CARD.replace("$1,234", "") + "</ul>").replace('<div class="YMlIz FpEdX"></div>', ""), "A", "B")]
     got = extract.extract_flights(spark.createDataFrame(rows, "request_id string, html string, from_airport string, to_airport string")).orderBy("request_id", "pos").collect()

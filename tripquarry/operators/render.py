@@ -91,7 +91,10 @@ def flight_table(itineraries: DataFrame, requests: DataFrame, *, terminal: int =
         bar, F.lit("\n  🛫  "), "from_airport", F.lit(" → "), "to_airport", F.lit(" on "), "depart_date", F.lit("\n"), bar, F.lit("\n\n💰 Best Price:  $"), F.col("_best").cast("string"), F.lit("\n📊 Total Flights: "), F.col("_total").cast("string"),
         F.lit("\n"), url, F.lit("\n🏆 Top "), F.least(F.lit(top), F.col("_total")).cast("string"), F.lit(" Results:\n"), dash, F.lit("\n\n"), header, F.lit("\n"), dash, F.lit("\n\n"), "_lines",
     )
-    return requests.select("request_id", "from_airport", "to_airport", "depart_date", "search_url").join(rows, "request_id").select("request_id", table.alias("table"), *([f"{n}_width" for n in FLOORS] if with_widths else []))
+    # Both sides have a row for each request; sizes guessed from files would have one of them
+    # broadcast, however many requests there are.
+    own = requests.select("request_id", "from_airport", "to_airport", "depart_date", "search_url")
+    return own.join(rows.hint("merge"), "request_id").select("request_id", table.alias("table"), *([f"{n}_width" for n in FLOORS] if with_widths else []))
 
 
 def hotel_list(hotels: DataFrame, *, limit: int = TOP_HOTELS) -> DataFrame:
