@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 A stage takes (spark, docs, folder) and works on all rows that the one before it kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  A stage may be called by itself: it sends the package to
+the workers first.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 from tripquarry.llm import byte_bpe, decontaminate, near_dedup, quality_knn, quality_rules
 from tripquarry.llm.frames import shared_folder
 from tripquarry.llm.queries import table, tokenizer
+from tripquarry.session import shipped
 
 
+@shipped
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Operator 8: documents that fail the base rules or the label model go."""
     return quality_rules.filter_quality(docs)
 
 
+@shipped
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Operator 2: documents that the classifier doesn't predict as good go.
 
@@ -32,16 +36,19 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, folder: str)
     return scored.where(F.col("predicted") == 1).select(*scored.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
+@shipped
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Operator 6: one document of each class stays."""
     return near_dedup.drop_near_copies(docs)
 
 
+@shipped
 def apply_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Operator 1: documents with an occurring benchmark window go."""
     return decontaminate.decontaminate(docs, table(spark, folder, "benchmark"), remove="documents")
 
 
+@shipped
 def apply_encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Operator 5: token ids of every document, and the digest of what they decode to; all columns
     but the text stay."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -36,10 +38,13 @@ def build_session(name: str = "tripquarry", master: str | None = None, **setting
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where they can't find it by their own path.
 
-    Spark itself sends the archive to the executors; nothing relies on a folder they share.
+    Spark itself sends the archive to the executors; nothing relies on a folder they share.  The
+    driver's own path and folder tell only of workers on one machine (``local``): those of a
+    cluster always get it.
     """
-    home = str(ROOT.parent)
-    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == home or getattr(spark.sparkContext, "_tripquarry_shipped", False):
+    context, home = spark.sparkContext, str(ROOT.parent)
+    found = home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == home
+    if found and re.fullmatch(r"local(\[.*\])?", context.master) or getattr(context, "_tripquarry_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="tripquarry-")
     atexit.register(shutil.rmtree, folder, True)  # Spark reads it again for each new executor
@@ -47,5 +52,16 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(ROOT.rglob("*.py")):
             out.write(path, path.relative_to(ROOT.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    spark.sparkContext._tripquarry_shipped = True
+    context.addPyFile(str(archive))
+    context._tripquarry_shipped = True
+
+
+def shipped(f):
+    """``f(spark, ...)``, after the package has gone to the workers."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        ship(spark)
+        return f(spark, *args)
+
+    return run
