@@ -45,6 +45,8 @@ def merged(emitted_rows: DataFrame, size: int, merge: np.ufunc = np.add) -> np.n
             yield _rows(sums)
 
     out = np.zeros((padded(size) // PART, PART), np.int64)
-    for r in emitted_rows.repartition("part").mapInArrow(run, SCHEMA).toLocalIterator():
-        out[r["part"]] = merge(out[r["part"]], np.frombuffer(bytes(r["counts"]), np.int64))
+    # At once: the table has a fixed size, and an iterator would start a job for each partition.
+    found = emitted_rows.repartition("part").mapInArrow(run, SCHEMA).toArrow()
+    for part, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        out[part] = merge(out[part], np.frombuffer(raw, np.int64))
     return out.ravel()[:size]
