@@ -32,5 +32,16 @@ def test_one_table_in_few_jobs_however_many_partitions(spark, merge):
     assert (got == merge.reduce(tables)[:size]).all() and 0 < jobs <= 4, jobs
 
 
+def test_a_large_table_goes_by_partition_to_the_same_result(spark, monkeypatch):
+    def emit(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from parts.emitted(np.full(3 * parts.PART, k + 1, np.int64))
+
+    rows = spark.range(3).mapInArrow(emit, parts.SCHEMA)
+    monkeypatch.setattr(parts, "AT_ONCE", 0)
+    assert (parts.merged(rows, 3 * parts.PART - 5) == np.full(3 * parts.PART - 5, 6)).all()
+
+
 def test_no_rows_are_zeros(spark):
     assert not parts.merged(spark.createDataFrame([], parts.SCHEMA), 10).any()

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PART = 4096
+AT_ONCE = 16 << 20  # bytes of a table that is read in one job; larger ones go by partition
 SCHEMA = "part int, counts binary"
 
 
@@ -45,8 +46,9 @@ def merged(emitted_rows: DataFrame, size: int, merge: np.ufunc = np.add) -> np.n
             yield _rows(sums)
 
     out = np.zeros((padded(size) // PART, PART), np.int64)
-    # At once: the table has a fixed size, and an iterator would start a job for each partition.
-    found = emitted_rows.repartition("part").mapInArrow(run, SCHEMA).toArrow()
-    for part, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+    found = emitted_rows.repartition("part").mapInArrow(run, SCHEMA)
+    # An iterator holds one partition at a time, but starts a job for each.
+    rows = zip(*(c.to_pylist() for c in found.toArrow().columns)) if out.nbytes <= AT_ONCE else ((r["part"], bytes(r["counts"])) for r in found.toLocalIterator())
+    for part, raw in rows:
         out[part] = merge(out[part], np.frombuffer(raw, np.int64))
     return out.ravel()[:size]
